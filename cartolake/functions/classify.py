@@ -27,7 +27,8 @@ MEDIUM = _words("text", "comment", "note", "notes", "message", "body", "html", "
 # Weak on their own.
 LOW = _words("city", "region", "country", "state", "postal_code", "zip", "age", "gender", "ts",
              "created_at", "user_agent", "lang", "url")
-# Tables whose plain "name" column names people.
+# Tables whose "name" column names people.
+PERSON_NAME = "(^|_)name$"
 PEOPLE = _words("customer", "customers", "user", "users", "person", "people", "employee",
                 "patient", "contact", "supplier", "author")
 KEY_NAME = "(^|_)(id|key|uuid)$|key$"
@@ -40,7 +41,7 @@ MEASURE_NAME = ("(price|bal|amount|total|count|quantity|discount|tax|size|value|
 def pii_risk(table: str = "table", column: str = "column") -> Column:
     """none, low, medium or high from the column and table name."""
     name = F.lower(F.col(column))
-    named_person = (name == "name") & F.lower(F.col(table)).rlike(PEOPLE)
+    named_person = name.rlike(PERSON_NAME) & F.lower(F.col(table)).rlike(PEOPLE)
     return (
         F.when(name.rlike(HIGH) | named_person, "high")
         .when(name.rlike(MEDIUM), "medium")

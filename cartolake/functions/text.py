@@ -27,3 +27,12 @@ def strip_fence(text: Column) -> Column:
 def strip_prefix(name: Column) -> Column:
     """Drop a one-letter table prefix such as ``c_`` (an option for matching, off by default)."""
     return F.regexp_replace(name, "^[a-z]_", "")
+
+
+def once(**values: Column) -> Column:
+    """Columns computed once per row, even when a later filter refers to them.
+
+    A predicate is pushed through a projection by repeating its expressions;
+    it is not pushed through a generator.  For expensive parsing only.
+    """
+    return F.inline(F.array(F.struct(*[value.alias(name) for name, value in values.items()])))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolake.functions import jsonvalue as J
-from cartolake.functions.text import strip_fence
+from cartolake.functions.text import once, strip_fence
 from cartolake.schema import COLUMN_KEY, PII_RISKS, SEMANTIC_TYPES, TABLE_KEY
 from cartolake.session import materialize
 
@@ -148,17 +148,17 @@ _COLUMN_CHECKS = ("missing_field", "column_name", "missing_field", "missing_fiel
                   "missing_field", "bad_enum", "missing_field", "bad_number")
 
 
-def _first_column_error(item: Column, expected: Column) -> Column:
-    """Index of the first failed check of one returned column, or NULL."""
-    name = J.field(item, "name")
-    semantic, risk, sure = (J.field(item, n) for n in ("semantic_type", "pii_risk", "confidence"))
-    in_set = lambda v, allowed: F.coalesce(
-        (J.kind(v) == "STRING") & J.text(v).isin(*allowed), F.lit(False))
-    same = (J.kind(name) == "STRING") & J.text(name).eqNullSafe(expected)
+def _first_column_error(expected: Column) -> Column:
+    """Index of the first failed check of a returned column (as read below), or NULL."""
+    there = lambda n: F.col(f"has_{n}")
+    in_set = lambda n, allowed: F.coalesce(
+        (F.col(f"k_{n}") == "STRING") & F.col(n).isin(*allowed), F.lit(False))
     failures = [
-        name.isNull(), ~F.coalesce(same, F.lit(False)), J.field(item, "description").isNull(),
-        semantic.isNull(), ~in_set(semantic, SEMANTIC_TYPES), risk.isNull(), ~in_set(risk, PII_RISKS),
-        sure.isNull(), J.as_float(sure).isNull(),
+        ~there("name"), ~F.coalesce((F.col("k_name") == "STRING") & (F.col("name") == expected), F.lit(False)),
+        ~there("description"),
+        ~there("semantic_type"), ~in_set("semantic_type", SEMANTIC_TYPES),
+        ~there("pii_risk"), ~in_set("pii_risk", PII_RISKS),
+        ~there("confidence"), F.col("confidence").isNull(),
     ]
     first = F.lit(None).cast("int")
     for index, failed in reversed(list(enumerate(failures))):
@@ -166,9 +166,8 @@ def _first_column_error(item: Column, expected: Column) -> Column:
     return first
 
 
-def _hints(doc: Column) -> Column:
+def _hints(value: Column) -> Column:
     """domain_hints as an array: absent gives none, a string gives its characters, else NULL."""
-    value = J.field(doc, "domain_hints")
     none = F.array().cast("array<string>")
     letters = F.when(J.text(value) == "", none).otherwise(F.split(J.text(value), ""))
     return (
@@ -197,30 +196,29 @@ def parse_descriptions(responses: DataFrame, columns: DataFrame, part_size: int
     """
     expected = numbered(columns, part_size)
     sizes = expected.groupBy(*PART_KEY).agg(F.count("*").alias("n_expected"))
-    doc = J.parse(strip_fence(F.col("raw")))
-    read = responses.withColumn("doc", doc).withColumn(
-        "items", F.try_variant_get("doc", "$.columns", "array<variant>"))
-    sure = J.field(F.col("doc"), "confidence")
-    shape = read.select(
-        *PART_KEY, F.col("doc").isNotNull().alias("is_json"), F.size("items").alias("n_items"),
-        J.field(F.col("doc"), "description").isNotNull().alias("has_description"),
-        J.field(F.col("doc"), "grain").isNotNull().alias("has_grain"),
-        J.text(J.field(F.col("doc"), "description")).alias("description"),
-        J.text(J.field(F.col("doc"), "grain")).alias("grain"),
-        _hints(F.col("doc")).alias("domain_hints"),
-        sure.isNotNull().alias("has_confidence"), J.as_float(sure).alias("confidence"),
-        F.left("raw", F.lit(RAW_KEPT)).alias("raw_start"),
-    )
-    item = F.col("item")
+    read = responses.select(*PART_KEY, "raw", once(doc=J.parse(strip_fence(F.col("raw"))))).select(
+        *PART_KEY, "raw", F.col("doc").isNotNull().alias("is_json"),
+        once(d=J.record(F.col("doc"), "description", "grain", "domain_hints", "columns", "confidence")))
+    items = F.try_variant_get("d.columns", "$", "array<variant>")
+    shape = read.select(*PART_KEY, once(
+        is_json=F.col("is_json"), n_items=F.size(items),
+        has_description=F.col("d.description").isNotNull(), has_grain=F.col("d.grain").isNotNull(),
+        description=J.text(F.col("d.description")), grain=J.text(F.col("d.grain")),
+        domain_hints=_hints(F.col("d.domain_hints")),
+        has_confidence=F.col("d.confidence").isNotNull(), confidence=J.as_float(F.col("d.confidence")),
+        raw_start=F.left("raw", F.lit(RAW_KEPT)),
+    ))
+    fields = ("name", "description", "semantic_type", "pii_risk")
     returned = (
-        read.select(*PART_KEY, F.posexplode("items").alias("position", "item"))
+        read.select(*PART_KEY, F.posexplode(items).alias("position", "item"))
+        .select(*PART_KEY, "position", once(f=J.record(F.col("item"), *fields, "confidence")))
+        .select(*PART_KEY, "position", once(
+            **{f"has_{n}": F.col(f"f.{n}").isNotNull() for n in (*fields, "confidence")},
+            **{n: J.text(F.col(f"f.{n}")) for n in fields},
+            **{f"k_{n}": J.kind(F.col(f"f.{n}")) for n in ("name", "semantic_type", "pii_risk")},
+            confidence=J.as_float(F.col("f.confidence"))))
         .join(expected.select(*PART_KEY, "position", "column"), [*PART_KEY, "position"])
-        .select(
-            *PART_KEY, "position", "column", _first_column_error(item, F.col("column")).alias("error"),
-            J.text(J.field(item, "description")).alias("description"),
-            J.text(J.field(item, "semantic_type")).alias("semantic_type"),
-            J.text(J.field(item, "pii_risk")).alias("pii_risk"),
-            J.as_float(J.field(item, "confidence")).alias("confidence"))
+        .withColumn("error", _first_column_error(F.col("column")))
     )
     checks = len(_COLUMN_CHECKS)
     worst = returned.groupBy(*PART_KEY).agg(

@@ -11,73 +11,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolake.operators.quality import endpoints
 from cartolake.operators.skew import lookup_join
 from cartolake.schema import TABLE_KEY
 from cartolake.session import materialize
 
-# Identifiers never hold control characters, so the pair is unambiguous.
-_NODE = F.concat_ws("\u0001", "schema", "table")
+# Identifiers never hold control characters, so a joined pair is unambiguous.
+_SEPARATOR = "\u0001"
 
 
-def _state(edges: DataFrame) -> tuple:
-    """A fingerprint of an edge set that does not depend on row order."""
-    digest = F.xxhash64("u", "v")
-    return tuple(edges.agg(
-        F.count("*"), F.sum(digest.cast("decimal(20,0)")), F.bit_xor(digest)).first())
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Connect every larger neighbour of a node to the node's smallest neighbour."""
-    both_ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both_ways = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
     smallest = both_ways.groupBy("u").agg(
         F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
     return (
         lookup_join(both_ways.filter("v > u"), smallest.select("u", "m"), ["u"], freq=smallest.select("u", "n"),
-                    spread=["v"])
+                    spread=["v"], total=total)
         .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Connect a node and its smaller neighbours to the smallest of them (edges have v < u)."""
     smallest = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
     moved = (
-        lookup_join(edges, smallest.select("u", "m"), ["u"], freq=smallest.select("u", "n"), spread=["v"])
+        lookup_join(edges, smallest.select("u", "m"), ["u"], freq=smallest.select("u", "n"), spread=["v"],
+                    total=total)
         .filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     )
     return moved.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """True when the edges are stars: every node has one parent and no parent has one itself."""
+    roles = edges.select(F.inline(F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))))
+    unsettled = roles.groupBy("node").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).filter(
+        (F.col("c") > 1) | ((F.col("c") > 0) & (F.col("p") > 0)))
+    return not unsettled.take(1)
+
+
 def components(tables: DataFrame, relationships: DataFrame) -> DataFrame:
     """(schema, table, is_table, label) for catalog tables and for endpoints outside the catalog.
 
     Tables of one component share a label.  Endpoints that are not in the catalog
     are part of the graph.  Each round is written to the shared checkpoint folder;
-    the driver sees one fingerprint row per round.
+    the driver sees a count and at most one row per round.
     """
     pair = relationships.select(
-        F.concat_ws("\u0001", "source_schema", "source_table").alias("a"),
-        F.concat_ws("\u0001", "target_schema", "target_table").alias("b"),
+        F.concat_ws(_SEPARATOR, "source_schema", "source_table").alias("a"),
+        F.concat_ws(_SEPARATOR, "target_schema", "target_table").alias("b"),
     ).filter("a != b")
-    edges = materialize(
+    first = materialize(
         pair.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
-    before = _state(edges)
-    while before[0]:
-        edges = materialize(_small_star(_large_star(edges)), "components")
-        after = _state(edges)
-        if after == before:
+    edges, total = first, 2 * first.count()
+    while total:
+        # Rounds never add edges, so the first total bounds every later one.
+        edges = materialize(_small_star(_large_star(edges, total), total), "components")
+        if _settled(edges):
             break
-        before = after
     nodes = (
-        tables.select(*TABLE_KEY, F.lit(1).alias("is_table"))
-        .unionByName(endpoints(relationships).withColumn("is_table", F.lit(0)))
-        .groupBy(*TABLE_KEY).agg(F.max("is_table").alias("is_table"))
-        .withColumn("node", _NODE)
+        tables.select(F.concat_ws(_SEPARATOR, *TABLE_KEY).alias("node"), F.lit(True).alias("is_table"))
+        .unionByName(first.select(F.explode(F.array("u", "v")).alias("node"), F.lit(False).alias("is_table")))
+        .groupBy("node").agg(F.max("is_table").alias("is_table"))
     )
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return nodes.join(roots, "node", "left").select(
-        *TABLE_KEY, (F.col("is_table") == 1).alias("is_table"), F.coalesce("label", "node").alias("label"))
+        F.substring_index("node", _SEPARATOR, 1).alias("schema"),
+        F.substring_index("node", _SEPARATOR, -1).alias("table"),
+        "is_table", F.coalesce("label", "node").alias("label"))
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:

@@ -24,6 +24,10 @@ EVIDENCE = {
     "national_id": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "secret": r"(AKIA[0-9A-Z]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----|(api|secret)[_-]?key\s*[:=]\s*[A-Za-z0-9]{16,})",
 }
+# A literal each match must contain, where the pattern has one: a byte search that
+# spares most texts the regular expression.
+REQUIRED = {"email": ("@",), "ipv4": (".",), "phone": (" ", "-"), "national_id": ("-",),
+            "secret": ("AKIA", "-----BEGIN", "key")}
 # Texts longer than this are compared by digest when values are counted.
 DIGEST_BYTES = 64
 
@@ -33,9 +37,15 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Exact rows per table; a bare count reads no column data."""
-    return _union([df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table"), "row_count")
-                   for name, df in tables.items()])
+    """Exact rows per table, zero included.
+
+    A bare row reads no column data; all tables are counted map-side into one shuffle.
+    """
+    rows = _union([df.select(F.lit(name).alias("table")) for name, df in tables.items()])
+    counts = rows.groupBy("table").agg(F.count("*").alias("n"))
+    names = rows.sparkSession.createDataFrame([(name,) for name in tables], "`table` string")
+    return names.join(counts, "table", "left").select(
+        "table", F.coalesce("n", F.lit(0).cast("bigint")).alias("row_count"))
 
 
 def _is_integral(kind: T.DataType) -> bool:
@@ -109,39 +119,49 @@ def choose_keys(profile: DataFrame) -> DataFrame:
     )
 
 
+def _integral_cells(df: DataFrame, table: str, columns: list[tuple[int, str]]) -> DataFrame:
+    cells = [F.struct(F.lit(o).alias("ordinal"), F.col(f"`{name}`").cast("bigint").alias("value"))
+             for o, name in columns]
+    return df.select(F.lit(table).alias("table"), F.inline(F.array(*cells)))
+
+
 def discover_keys(tables: Mapping[str, DataFrame]) -> DataFrame:
     """The keys of ``choose_keys`` without counting every column.
 
-    Pass one reads the integral columns and drops those with NULLs or with a
-    value range too small to be unique (fewer possible values than rows).  Pass
-    two looks for repeated values in the remaining columns only.
+    Pass one reads the integral columns and rules out those with NULLs or with a
+    value range too small to be unique (fewer possible values than rows).  Its
+    result, one row per integral column of the given schemas, tells pass two
+    which few columns to read again in search of repeated values.
     """
-    stats, cells = [], []
-    for table, df in tables.items():
-        whole = [(o, f.name) for o, f in enumerate(df.schema.fields, start=1) if _is_integral(f.dataType)]
-        if not whole:
-            continue
-        value = lambda name: F.col(f"`{name}`").cast("bigint")
-        per_column = [
-            F.struct(F.lit(o).alias("ordinal"), F.lit(name).alias("column"), F.count("*").alias("rows"),
-                     F.count(value(name)).alias("filled"), F.min(value(name)).alias("low"),
-                     F.max(value(name)).alias("high"))
-            for o, name in whole]
-        stats.append(df.agg(F.array(*per_column).alias("c")).select(F.lit(table).alias("table"), F.inline("c")))
-        cells.append(df.select(F.lit(table).alias("table"), F.inline(F.array(*[
-            F.struct(F.lit(o).alias("ordinal"), value(name).alias("value")) for o, name in whole]))))
+    integral = {
+        table: [(o, f.name) for o, f in enumerate(df.schema.fields, start=1) if _is_integral(f.dataType)]
+        for table, df in tables.items()}
+    integral = {table: columns for table, columns in integral.items() if columns}
+    spark = next(iter(tables.values())).sparkSession
+    keys = "`table` string, ordinal int, `column` string"
+    if not integral:
+        return spark.createDataFrame([], keys)
     span = F.col("high").cast("decimal(20,0)") - F.col("low").cast("decimal(20,0)") + 1
-    possible = _union(stats).filter(
-        (F.col("rows") > 0) & (F.col("filled") == F.col("rows")) & (span >= F.col("rows")))
-    repeated = (
-        # One row per integral column of the given schemas: bounded by their width.
-        _union(cells).join(F.broadcast(possible.select("table", "ordinal")), ["table", "ordinal"], "left_semi")
-        .groupBy("table", "ordinal", "value").agg(F.count("*").alias("n")).filter("n > 1")
-        .select("table", "ordinal").distinct()
+    possible = {(r["table"], r["ordinal"]) for r in (
+        _union([_integral_cells(tables[t], t, columns) for t, columns in integral.items()])
+        .groupBy("table", "ordinal")
+        .agg(F.count("*").alias("rows"), F.count("value").alias("filled"),
+             F.min("value").alias("low"), F.max("value").alias("high"))
+        .filter((F.col("filled") == F.col("rows")) & (span >= F.col("rows")))
+        .select("table", "ordinal").collect())}
+    left = {t: [(o, n) for o, n in columns if (t, o) in possible] for t, columns in integral.items()}
+    left = {t: columns for t, columns in left.items() if columns}
+    if not left:
+        return spark.createDataFrame([], keys)
+    unique = (
+        _union([_integral_cells(tables[t], t, columns) for t, columns in left.items()])
+        .groupBy("table", "ordinal", "value").agg(F.count("*").alias("n"))
+        .groupBy("table", "ordinal").agg(F.max("n").alias("n")).filter("n = 1").drop("n")
     )
+    named = spark.createDataFrame([(t, o, n) for t, columns in left.items() for o, n in columns], keys)
     first = F.min(F.struct("ordinal", "column"))
     return (
-        possible.join(repeated, ["table", "ordinal"], "left_anti")
+        unique.join(F.broadcast(named), ["table", "ordinal"])
         .groupBy("table").agg(first.alias("k")).select("table", "k.ordinal", "k.column")
     )
 
@@ -162,6 +182,13 @@ def _text_columns(df: DataFrame) -> list[tuple[int, str]]:
     return [(o, f.name) for o, f in enumerate(df.schema.fields, start=1) if isinstance(f.dataType, T.StringType)]
 
 
+def _matches(value: Column, kind: str) -> Column:
+    found = value.rlike(EVIDENCE[kind])
+    if kind in REQUIRED:
+        found = reduce(lambda a, b: a | b, [value.contains(part) for part in REQUIRED[kind]]) & found
+    return found
+
+
 def pii_evidence(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Per text column and pattern: filled rows and rows that match.  One pass over whole texts."""
     parts = []
@@ -172,8 +199,8 @@ def pii_evidence(tables: Mapping[str, DataFrame]) -> DataFrame:
         found = [
             F.struct(F.lit(name).alias("column"), F.lit(kind).alias("kind"),
                      F.count(F.col(f"`{name}`")).alias("filled"),
-                     F.count_if(F.col(f"`{name}`").rlike(pattern)).alias("matched"))
-            for _, name in texts for kind, pattern in EVIDENCE.items()]
+                     F.count_if(_matches(F.col(f"`{name}`"), kind)).alias("matched"))
+            for _, name in texts for kind in EVIDENCE]
         parts.append(df.agg(F.array(*found).alias("f")).select(F.lit(table).alias("table"), F.inline("f")))
     return _union(parts)
 

@@ -64,12 +64,14 @@ def matches(
     threshold: int = PRESSURE_THRESHOLD,
     normalise: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Source columns with the usable keys they match and how many targets each key offers.
+    """Source columns with the usable keys they match; ``targets`` is 1, or 2 for several.
 
     Owners of a key name are reduced to a count and their first and last table
     before the join, which makes it many-to-one: a popular key name never
-    multiplies rows.  Usable keys match at most ``threshold`` columns each, so
-    names above HOT_ROWS can be dropped on the map side, before any shuffle.
+    multiplies rows.  First and last also tell whether the column's own table is
+    an owner whenever that decides between one target and several.  Usable keys
+    match at most ``threshold`` columns each, so names above HOT_ROWS can be
+    dropped on the map side, before any shuffle.
     """
     keys, pks = match_keys(columns, normalise), single_pks(columns, normalise)
     freq = key_frequency(keys)
@@ -82,19 +84,15 @@ def matches(
         .drop("n")
     )
     too_hot = F.broadcast(hot_keys(freq, ["schema", "key"], "n", max(HOT_ROWS, threshold + 1)))
-    own = pks.select("schema", "key", F.col("target_table").alias("table"), F.lit(True).alias("owns"))
-    found = (
-        keys.join(too_hot, ["schema", "key"], "left_anti")
-        .join(usable, ["schema", "key"])
-        .join(own, ["schema", "key", "table"], "left")
-    )
+    found = keys.join(too_hot, ["schema", "key"], "left_anti").join(usable, ["schema", "key"])
     # A role-prefixed name never points at its own table.
-    skip_own = F.coalesce(F.col("owns"), F.lit(False)) & ~F.col("direct")
-    other = F.when(F.col("first_owner.target_table") == F.col("table"), F.col("last_owner")).otherwise(
-        F.col("first_owner"))
+    is_first = F.col("first_owner.target_table") == F.col("table")
+    is_last = F.col("last_owner.target_table") == F.col("table")
+    skip_own = ~F.col("direct") & (is_first | is_last)
+    other = F.when(is_first, F.col("last_owner")).otherwise(F.col("first_owner"))
     return found.select(
         *TABLE_KEY, "column", "key", "direct",
-        (F.col("owners") - skip_own.cast("int")).alias("targets"),
+        F.least(F.col("owners") - skip_own.cast("int"), F.lit(2)).cast("int").alias("targets"),
         F.when(skip_own, other).otherwise(F.col("first_owner")).alias("target"),
     ).filter("targets > 0")
 

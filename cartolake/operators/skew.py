@@ -37,6 +37,7 @@ def lookup_join(
     spread: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    total: int | None = None,
 ) -> DataFrame:
     """Join many ``rows`` to a ``lookup`` that has at most one row per key.
 
@@ -45,9 +46,12 @@ def lookup_join(
     is repeated once per salt.  The salt is a function of row content, so a
     recomputed task produces the same placement.  ``freq`` is a ready key/count
     table when the caller has one; otherwise it is one partial aggregation over
-    the key columns.
+    the key columns.  A caller that knows the ``total`` number of rows passes it:
+    below ``hot_rows`` no key can be hot, and the join is a plain one.
     """
     keys = list(keys)
+    if total is not None and total < hot_rows:
+        return rows.join(lookup, keys, how)
     if freq is None:
         freq = rows.groupBy(*keys).agg(F.count("*").alias(count))
     freq_keys = [k for k in keys if k in freq.columns]

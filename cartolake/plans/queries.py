@@ -20,7 +20,7 @@ from cartolake.operators import sampling, search
 from cartolake.plans import answers
 from cartolake.plans.tenants import Tenants
 from cartolake.schema import EDGE, TABLE_KEY
-from cartolake.session import configure
+from cartolake.session import configure, materialize
 from cartolake.sources import bundle, constraints, reports, snapshot
 
 REAL_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -48,6 +48,11 @@ def real(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in (names or REAL_TABLES)}
 
 
+def _real_columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """Catalog rows of data tables, written once: they feed several branches of a plan."""
+    return materialize(profile.profiled_columns(tables, profile.discover_keys(tables)), "columns")
+
+
 # -- sources ------------------------------------------------------------------
 @tenant_query
 def s1_discover_columns(t):
@@ -163,7 +168,7 @@ def p12_classify_columns(t):
 @query
 def p12_classify_real_columns(spark, sf_dir):
     tables = real(spark, sf_dir)
-    columns = profile.profiled_columns(tables, profile.discover_keys(tables))
+    columns = _real_columns(tables)
     return profile.classify(columns, profile.pii_evidence(tables)).select(
         "table", "column", "semantic_type", "pii_risk")
 
@@ -172,7 +177,7 @@ def p12_classify_real_columns(spark, sf_dir):
 @query
 def j3_profiled_tables(spark, sf_dir):
     tables = real(spark, sf_dir)
-    columns = profile.profiled_columns(tables, profile.discover_keys(tables))
+    columns = _real_columns(tables)
     return rel.map_relationships(columns, normalise=strip_prefix)
 
 
@@ -229,7 +234,7 @@ def _with_old_customers(spark, sf_dir) -> dict[str, DataFrame]:
 @query
 def e1_containment(spark, sf_dir):
     tables = real(spark, sf_dir, "customer", "orders", "nation", "lineitem", "part", "supplier", "region")
-    columns = profile.profiled_columns(tables, profile.discover_keys(tables))
+    columns = _real_columns(tables)
     shown = overlap.containment(rel.infer_edges(columns, normalise=strip_prefix), tables)
     return shown.select(*EDGE, "n_values", "n_found", F.round("containment", 6).alias("containment"))
 
@@ -237,7 +242,7 @@ def e1_containment(spark, sf_dir):
 @query
 def e1_overlap_tiebreak(spark, sf_dir):
     tables = _with_old_customers(spark, sf_dir)
-    columns = profile.profiled_columns(tables, profile.discover_keys(tables))
+    columns = _real_columns(tables)
     pairs = rel.ambiguous_candidates(columns, normalise=strip_prefix)
     chosen = overlap.break_ties(overlap.containment(pairs, tables))
     return chosen.select(*EDGE, "n_values", "n_found", F.round("containment", 6).alias("containment"))
@@ -300,7 +305,7 @@ def p2_coerce(spark, sf_dir):
 @query
 def p4_redacted_sample(spark, sf_dir):
     tables = real(spark, sf_dir, "customer")
-    columns = profile.profiled_columns(tables, profile.discover_keys(tables))
+    columns = _real_columns(tables)
     described = profile.classify(columns)
     return sampling.redact(tables["customer"], described, "main", "customer")
 
