@@ -39,10 +39,13 @@ def relationship_changes(current: DataFrame, other: DataFrame) -> DataFrame:
     An edge listed as both declared and inferred reports ``inferred``, the later
     of the two in catalog order.
     """
+    # The kind travels as a flag: fixed-width values keep the aggregation hash-based.
+    flagged = lambda df: df.select(*EDGE, (F.col("kind") == "inferred").alias("inferred"))
     added = F.col("cur")
-    return _sides(current, other, EDGE, "kind").filter(F.col("cur") != F.col("oth")).select(
+    inferred = F.when(added, F.col("cur_value")).otherwise(F.col("oth_value"))
+    return _sides(flagged(current), flagged(other), EDGE, "inferred").filter(F.col("cur") != F.col("oth")).select(
         F.when(added, "relationship_added").otherwise("relationship_removed").alias("change_type"),
-        *EDGE, F.when(added, F.col("cur_value")).otherwise(F.col("oth_value")).alias("kind"))
+        *EDGE, F.when(inferred, "inferred").otherwise("declared").alias("kind"))
 
 
 def description_changes(current: DataFrame, other: DataFrame) -> DataFrame:

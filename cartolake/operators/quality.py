@@ -42,12 +42,10 @@ def coverage(tables: DataFrame, table_descriptions: DataFrame, relationships: Da
         F.count_if(F.col("incident") == 0).alias("orphan_count"),
     )
     edges = relationships.agg(F.count("*").alias("relationship_count"))
-    # Three one-row results side by side, matched on a constant key.
-    one = F.lit(1).alias("__one")
-    row = (
-        linked.select("*", one).join(slots.select("*", one), "__one").join(edges.select("*", one), "__one")
-        .drop("__one")
-    )
+    # One-row results side by side: stacked, then the only value per column.
+    names = [*linked.columns, *slots.columns, *edges.columns]
+    row = linked.unionByName(slots, allowMissingColumns=True).unionByName(edges, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in names])
     share = lambda part: F.when(
         F.col("table_count") > 0, F.col(part) / F.col("table_count")).otherwise(0.0)
     return row.select(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartolake.session import materialize
+
 # A key is spread once it has this many rows; smaller keys fit one task.
 HOT_ROWS = 1_000_000
 # At most this many keys are listed for broadcast.  Keys beyond the list are
@@ -77,34 +79,26 @@ def lookup_join(
     return salted_rows.join(salted_lookup, [*keys, "__salt"], how).drop("__salt")
 
 
-def dense_position(rows: DataFrame, group: Sequence[str], ordinal: str, *, page_size: int = 1000) -> DataFrame:
-    """Add ``position`` (0, 1, 2 …) by ``ordinal`` within ``group``, in two levels.
+def group_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "rank",
+               partitions: int | None = None) -> DataFrame:
+    """Number the rows of each group (1, 2, 3 …) by ``order`` without putting a group into one task.
 
-    Rows are ranked inside pages of ``page_size`` ordinals, and page offsets come
-    from per-page counts, so no task ever sorts more than one page of a group.
-    ``ordinal`` must be a positive integer, unique within the group; gaps are fine.
+    Rows are range-partitioned by group and order and written once, so that every
+    row keeps its slice.  Ranks inside a slice are shifted by the sizes of the
+    group's earlier slices.  A top-k per group does not need this: there Spark
+    already filters by rank before the shuffle.
     """
-    group = list(group)
-    paged = rows.withColumn("__page", F.floor((F.col(ordinal) - 1) / page_size).cast("bigint"))
-    page = [*group, "__page"]
-    offsets = (
-        paged.groupBy(*page).agg(F.count("*").alias("__n"))
-        .withColumn(
-            "__offset",
-            F.coalesce(
-                F.sum("__n").over(
-                    Window.partitionBy(*group).orderBy("__page")
-                    .rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .drop("__n")
-    )
-    within = F.row_number().over(Window.partitionBy(*page).orderBy(ordinal)) - 1
+    spark = df.sparkSession
+    slices = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                               spark.sparkContext.defaultParallelism)
+    sliced = materialize(
+        df.repartitionByRange(slices, *group, *order).withColumn("__slice", F.spark_partition_id()), "ranked")
+    sizes = sliced.groupBy(*group, "__slice").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*group).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*group, "__slice", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__offset"))
+    within = F.row_number().over(Window.partitionBy(*group, "__slice").orderBy(*order))
     return (
-        paged.withColumn("__within", within)
-        .join(offsets, page)
-        .withColumn("position", (F.col("__offset") + F.col("__within")).cast("int"))
-        .drop("__page", "__within", "__offset")
+        sliced.withColumn("__within", within).join(offsets, [*group, "__slice"])
+        .withColumn(name, F.col("__offset") + F.col("__within"))
+        .drop("__slice", "__within", "__offset")
     )

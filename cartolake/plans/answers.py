@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,11 +68,17 @@ def judge_answers(t, shift: int = 0) -> DataFrame:
     return t._tables().select(*TABLE_KEY, raw.alias("raw"))
 
 
-def offline_answer(prompt: str) -> str:
-    """A generator that needs no network: reads the prompt's own column lines."""
-    table = re.search(r"^Table: \S*\.(\S+)$", prompt, re.M).group(1)
-    columns = [{"name": name, "description": f"The {name}", "semantic_type": "identifier" if pk == "true" else "other",
-                "pii_risk": "none", "confidence": 0.5}
-               for name, pk in re.findall(r"^  - (\S+): .*, pk=(true|false)$", prompt, re.M)]
-    return json.dumps({"description": f"Rows about {table}", "grain": f"one row per {table}",
-                       "domain_hints": [table], "columns": columns, "confidence": 0.5}, separators=(",", ":"))
+def offline_model() -> Callable[[str], str]:
+    """A generator that needs no network: it reads the prompt's own column lines.
+
+    Built here so that it ships to the workers by value, whatever their path.
+    """
+    def answer(prompt: str) -> str:
+        table = re.search(r"^Table: \S*\.(\S+)$", prompt, re.M).group(1)
+        columns = [
+            {"name": name, "description": f"The {name}", "semantic_type": "identifier" if pk == "true" else "other",
+             "pii_risk": "none", "confidence": 0.5}
+            for name, pk in re.findall(r"^  - (\S+): .*, pk=(true|false)$", prompt, re.M)]
+        return json.dumps({"description": f"Rows about {table}", "grain": f"one row per {table}",
+                           "domain_hints": [table], "columns": columns, "confidence": 0.5}, separators=(",", ":"))
+    return answer

@@ -477,7 +477,7 @@ def u4_retry_outcomes(t):
 def u1_generate(t):
     prompts = enrich.table_prompts(t.columns()).select(*TABLE_KEY, "part", "prompt")
     cores = t.spark.sparkContext.defaultParallelism
-    raw = enrich.generate(prompts, answers.offline_answer, parallelism=cores, backoff=0.0)
+    raw = enrich.generate(prompts, answers.offline_model(), parallelism=cores, backoff=0.0)
     return raw.select(*TABLE_KEY, "outcome", "attempts", F.length("raw").alias("answer_length"))
 
 

@@ -17,6 +17,8 @@ RUNTIME_CONF = {
     # of the rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # A repeated key in a model's JSON answer: the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
