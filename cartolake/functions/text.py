@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +22,9 @@ def suffix_keys(name: Column) -> Column:
 
 def strip_fence(text: Column) -> Column:
     """The fenced body when the whole trimmed text is one code fence, else the text as is."""
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(trimmed.rlike(FENCE), F.regexp_extract(trimmed, FENCE, 1)).otherwise(text)
+    trimmed = F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
+    fenced = trimmed.startswith("```") & trimmed.rlike(FENCE)
+    return F.when(fenced, F.regexp_extract(trimmed, FENCE, 1)).otherwise(text)
 
 
 def strip_prefix(name: Column) -> Column:
@@ -29,6 +32,11 @@ def strip_prefix(name: Column) -> Column:
     return F.regexp_replace(name, "^[a-z]_", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def once(**values: Column) -> Column:
     """Columns computed once per row, even when a later filter refers to them.
 

@@ -10,12 +10,12 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.functions import jsonvalue as J
-from cartolake.functions.text import once, strip_fence
-from cartolake.schema import COLUMN_KEY, PII_RISKS, SEMANTIC_TYPES, TABLE_KEY
+from cartolake.functions.text import let, once, strip_fence
+from cartolake.schema import PII_RISKS, SEMANTIC_TYPES, TABLE_KEY
 from cartolake.session import materialize
 
 WIDE_TABLE = 30
@@ -49,20 +49,16 @@ def prompt_hash(*extra: str) -> Column:
     return F.sha2(F.lit(prompt_version(*extra)), 256)
 
 
-def numbered(columns: DataFrame, part_size: int = PART_SIZE) -> DataFrame:
-    """Columns with their part and their position inside it (0, 1, 2 …)."""
-    part = F.floor((F.col("ordinal") - 1) / part_size).cast("int")
-    order = Window.partitionBy(*PART_KEY).orderBy("ordinal")
-    return columns.withColumn("part", part).withColumn("position", F.row_number().over(order) - 1)
+def _part(part_size: int) -> Column:
+    return F.floor((F.col("ordinal") - 1) / part_size).cast("int").alias("part")
 
 
 def _column_lines(columns: DataFrame, part_size: int) -> DataFrame:
     flag = lambda c: F.col(c).cast("string")
     line = F.concat(F.lit("  - "), "column", F.lit(": "), "data_type", F.lit(", nullable="), flag("nullable"),
                     F.lit(", pk="), flag("is_primary_key"))
-    part = F.floor((F.col("ordinal") - 1) / part_size).cast("int")
     entries = F.sort_array(F.collect_list(F.struct("ordinal", line.alias("line"))))
-    return columns.withColumn("part", part).groupBy(*PART_KEY).agg(
+    return columns.withColumn("part", _part(part_size)).groupBy(*PART_KEY).agg(
         F.array_join(F.transform(entries, lambda x: x["line"]), "\n").alias("lines"),
         F.count("*").alias("n_columns"))
 
@@ -148,17 +144,24 @@ _COLUMN_CHECKS = ("missing_field", "column_name", "missing_field", "missing_fiel
                   "missing_field", "bad_enum", "missing_field", "bad_number")
 
 
-def _first_column_error(expected: Column) -> Column:
-    """Index of the first failed check of a returned column (as read below), or NULL."""
-    there = lambda n: F.col(f"has_{n}")
-    in_set = lambda n, allowed: F.coalesce(
-        (F.col(f"k_{n}") == "STRING") & F.col(n).isin(*allowed), F.lit(False))
+def _read_column(item: Column) -> Column:
+    """The fields of one returned column: texts, presence and types where they matter."""
+    fields = ("name", "description", "semantic_type", "pii_risk")
+    return let(J.record(item, *fields, "confidence"), lambda f: F.struct(
+        *[J.text(f[n]).alias(n) for n in fields], J.as_float(f["confidence"]).alias("confidence"),
+        *[f[n].isNotNull().alias(f"has_{n}") for n in (*fields, "confidence")],
+        *[(J.kind(f[n]) == "STRING").alias(f"is_text_{n}") for n in ("name", "semantic_type", "pii_risk")]))
+
+
+def _column_error(c: Column, expected: Column) -> Column:
+    """Index of the first failed check of a returned column, or NULL."""
+    word_in = lambda n, allowed: F.coalesce(c[f"is_text_{n}"] & c[n].isin(*allowed), F.lit(False))
     failures = [
-        ~there("name"), ~F.coalesce((F.col("k_name") == "STRING") & (F.col("name") == expected), F.lit(False)),
-        ~there("description"),
-        ~there("semantic_type"), ~in_set("semantic_type", SEMANTIC_TYPES),
-        ~there("pii_risk"), ~in_set("pii_risk", PII_RISKS),
-        ~there("confidence"), F.col("confidence").isNull(),
+        ~c["has_name"], ~F.coalesce(c["is_text_name"] & (c["name"] == expected), F.lit(False)),
+        ~c["has_description"],
+        ~c["has_semantic_type"], ~word_in("semantic_type", SEMANTIC_TYPES),
+        ~c["has_pii_risk"], ~word_in("pii_risk", PII_RISKS),
+        ~c["has_confidence"], c["confidence"].isNull(),
     ]
     first = F.lit(None).cast("int")
     for index, failed in reversed(list(enumerate(failures))):
@@ -194,59 +197,42 @@ def parse_descriptions(responses: DataFrame, columns: DataFrame, part_size: int
     The reason of the first failed check is reported, with the start of the raw
     text.
     """
-    expected = numbered(columns, part_size)
-    sizes = expected.groupBy(*PART_KEY).agg(F.count("*").alias("n_expected"))
-    read = responses.select(*PART_KEY, "raw", once(doc=J.parse(strip_fence(F.col("raw"))))).select(
-        *PART_KEY, "raw", F.col("doc").isNotNull().alias("is_json"),
-        once(d=J.record(F.col("doc"), "description", "grain", "domain_hints", "columns", "confidence")))
-    items = F.try_variant_get("d.columns", "$", "array<variant>")
-    shape = read.select(*PART_KEY, once(
-        is_json=F.col("is_json"), n_items=F.size(items),
-        has_description=F.col("d.description").isNotNull(), has_grain=F.col("d.grain").isNotNull(),
-        description=J.text(F.col("d.description")), grain=J.text(F.col("d.grain")),
-        domain_hints=_hints(F.col("d.domain_hints")),
-        has_confidence=F.col("d.confidence").isNotNull(), confidence=J.as_float(F.col("d.confidence")),
-        raw_start=F.left("raw", F.lit(RAW_KEPT)),
-    ))
-    fields = ("name", "description", "semantic_type", "pii_risk")
-    returned = (
-        read.select(*PART_KEY, F.posexplode(items).alias("position", "item"))
-        .select(*PART_KEY, "position", once(f=J.record(F.col("item"), *fields, "confidence")))
-        .select(*PART_KEY, "position", once(
-            **{f"has_{n}": F.col(f"f.{n}").isNotNull() for n in (*fields, "confidence")},
-            **{n: J.text(F.col(f"f.{n}")) for n in fields},
-            **{f"k_{n}": J.kind(F.col(f"f.{n}")) for n in ("name", "semantic_type", "pii_risk")},
-            confidence=J.as_float(F.col("f.confidence"))))
-        .join(expected.select(*PART_KEY, "position", "column"), [*PART_KEY, "position"])
-        .withColumn("error", _first_column_error(F.col("column")))
+    names = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "column"))), lambda x: x["column"])
+    expected = columns.withColumn("part", _part(part_size)).groupBy(*PART_KEY).agg(names.alias("expected"))
+    read = (
+        responses.select(*PART_KEY, "raw", once(doc=J.parse(strip_fence(F.col("raw")))))
+        .select(*PART_KEY, "raw", F.col("doc").isNotNull().alias("is_json"), once(
+            d=J.record(F.col("doc"), "description", "grain", "domain_hints", "columns", "confidence")))
+        .select(
+            *PART_KEY, "is_json", F.left("raw", F.lit(RAW_KEPT)).alias("raw_start"), once(
+                items=F.transform(F.try_variant_get("d.columns", "$", "array<variant>"), _read_column),
+                has_description=F.col("d.description").isNotNull(), has_grain=F.col("d.grain").isNotNull(),
+                description=J.text(F.col("d.description")), grain=J.text(F.col("d.grain")),
+                domain_hints=_hints(F.col("d.domain_hints")),
+                has_confidence=F.col("d.confidence").isNotNull(), confidence=J.as_float(F.col("d.confidence"))))
     )
-    checks = len(_COLUMN_CHECKS)
-    worst = returned.groupBy(*PART_KEY).agg(
-        F.min(F.col("position") * checks + F.col("error")).alias("first_error"))
-    column_reason = F.element_at(
-        F.array(*map(F.lit, _COLUMN_CHECKS)), (F.col("first_error") % checks).cast("int") + 1)
+    failed = F.filter(F.zip_with("items", "expected", _column_error), lambda e: e.isNotNull())
+    first_failed = F.element_at(F.array(*map(F.lit, _COLUMN_CHECKS)), F.get(failed, F.lit(0)) + 1)
     reason = (
         F.when(~F.col("is_json"), "bad_json")
-        .when(F.col("n_items").isNull() | (F.col("n_items") < 0), "missing_field")
-        .when(F.col("n_items") != F.coalesce("n_expected", F.lit(0)), "column_count")
-        .when(F.col("first_error").isNotNull(), column_reason)
+        .when(F.col("items").isNull(), "missing_field")
+        .when(F.size("items") != F.coalesce(F.size("expected"), F.lit(0)), "column_count")
+        .when(F.size(failed) > 0, first_failed)
         .when(~F.col("has_description") | ~F.col("has_grain"), "missing_field")
         .when(F.col("domain_hints").isNull(), "bad_hints")
         .when(~F.col("has_confidence"), "missing_field")
         .when(F.col("confidence").isNull(), "bad_number")
     )
-    judged = (
-        shape.join(sizes, PART_KEY, "left").join(worst, PART_KEY, "left")
-        .withColumn("reason", reason)
-        .withColumn("status", F.when(F.col("reason").isNull(), "ok").otherwise("failed"))
-    )
+    # Tables and their expected names meet one to one; every check is then local to the row.
+    judged = read.join(expected, PART_KEY, "left").select("*", once(reason=reason)).withColumn(
+        "status", F.when(F.col("reason").isNull(), "ok").otherwise("failed"))
     ok = F.col("status") == "ok"
     accepted = judged.filter(ok)
     return Parsed(
         judged.select(*PART_KEY, "status", "reason", F.when(~ok, F.col("raw_start")).alias("raw_start")),
         accepted.select(*PART_KEY, "description", "grain", "domain_hints", "confidence"),
-        returned.join(accepted.select(*PART_KEY), PART_KEY, "left_semi").select(
-            *COLUMN_KEY, "description", "semantic_type", "pii_risk", "confidence"),
+        accepted.select(*TABLE_KEY, F.inline(F.zip_with("items", "expected", lambda c, name: F.struct(
+            name.alias("column"), *[c[n].alias(n) for n in ("description", "semantic_type", "pii_risk", "confidence")])))),
     )
 
 
