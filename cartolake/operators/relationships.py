@@ -45,6 +45,8 @@ def match_keys(columns: DataFrame, normalise: Callable[[Column], Column] | None
         _named(columns, normalise).filter(~F.col("is_primary_key"))
         .select(*TABLE_KEY, "column", "match_name", F.explode(suffix_keys(F.col("match_name"))).alias("key"))
         .select(*TABLE_KEY, "column", "key", (F.col("key") == F.col("match_name")).alias("direct"))
+        # Stated here, so that all branches of a plan agree and share one shuffle.
+        .filter(F.col("schema").isNotNull() & F.col("key").isNotNull())
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cartolake.functions import dsn as D
 from cartolake.functions.classify import pii_risk, semantic_type
-from cartolake.functions.text import strip_prefix
+from cartolake.functions.text import once, strip_prefix
 from cartolake.operators import ask, diff, drift, edges, enrich, graph, judge, overlap, profile, quality
 from cartolake.operators import relationships as rel
 from cartolake.operators import sampling, search
@@ -554,11 +554,11 @@ def _connections(spark, sf_dir):
                     F.lit(".example.com"), port, path)
     bare = F.concat(scheme, F.lit("://host"), c, port, path)
     dsn = F.when(k % 11 == 0, scheme).when(k % 11 == 1, bare).when(k % 11 == 2, F.lit("")).otherwise(full)
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("id"), dsn.alias("dsn"), c.alias("c"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(k.alias("id"), once(dsn=dsn, c=c))
     message = F.concat(
         F.lit("connect to "), "dsn", F.lit(" failed: password 'p@ss"), "c", F.lit("' or 'pw"), "c",
         F.lit("x' rejected by snowflake.errors; see ftp://bob:secret@files/x"))
-    return orders.select("id", "dsn", message.alias("message"))
+    return orders.select("id", "dsn", once(message=message))
 
 
 @query

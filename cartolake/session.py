@@ -16,6 +16,13 @@ RUNTIME_CONF = {
     # reused its partitioning: one more shuffle beats one task with a third
     # of the rows.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Broadcast by measured size only.  Static estimates do not see how far a
+    # generator multiplies rows, so the choice is left to AQE, which knows the
+    # shuffled bytes; hints remain for tables bounded by construction.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "16MB",
+    # Hash instead of sort where every measured partition fits in memory.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
     # A repeated key in a model's JSON answer: the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
