@@ -107,7 +107,7 @@ def generate(
     attempts: int = ATTEMPTS,
     backoff: float = 1.0,
 ) -> DataFrame:
-    """Call ``fn`` once per prompt: the key columns, then raw, outcome, attempts, error.
+    """Call ``fn`` once per prompt: the key columns, then raw, outcome, attempts, error, elapsed_ms.
 
     Concurrency is the number of partitions.  An exception is retried with
     doubling pauses and then recorded as ``provider_error``; it never fails the
@@ -117,26 +117,29 @@ def generate(
     names = [f.name for f in keys]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys)
 
-    def call(text: str) -> tuple[str | None, str, int, str | None]:
+    results = ["raw", "outcome", "attempts", "error", "elapsed_ms"]
+
+    def call(text: str) -> tuple:
+        start = time.monotonic()
+        taken = lambda: int((time.monotonic() - start) * 1000)
         for attempt in range(1, attempts + 1):
             try:
-                return fn(text), "ok", attempt, None
+                return fn(text), "ok", attempt, None, taken()
             except Exception as exc:  # noqa: BLE001 - the provider boundary
                 error = f"{type(exc).__name__}: {exc}"
             if attempt < attempts:
                 time.sleep(backoff * 2 ** (attempt - 1))
-        return None, "provider_error", attempts, error
+        return None, "provider_error", attempts, error, taken()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             answers = [call(text) for text in batch["prompt"]]
             out = batch[names].copy()
-            out[["raw", "outcome", "attempts", "error"]] = pd.DataFrame(
-                answers, index=out.index, columns=["raw", "outcome", "attempts", "error"], dtype="object")
+            out[results] = pd.DataFrame(answers, index=out.index, columns=results, dtype="object")
             yield out
 
     return prompts.repartition(parallelism, *TABLE_KEY).mapInPandas(
-        run, f"{kinds}, raw string, outcome string, attempts int, error string")
+        run, f"{kinds}, raw string, outcome string, attempts int, error string, elapsed_ms bigint")
 
 
 # Checks on a returned column, in the order they are made.
@@ -270,11 +273,12 @@ def describe_tables(
     that fails too the table is ``failed`` for good.  A provider error in either
     call starts the table over, at most ``attempts`` times.  Raw responses are
     written before they are parsed, so a lost executor repeats no accepted call.
-    Tables without an accepted description get a row with a NULL description.
+    Tables without an accepted description get a row with a NULL description;
+    outcomes carry the event, the error and the time spent in calls.
     """
     prompts = table_prompts(columns, samples, part_size).select(*PART_KEY, "prompt")
     pending = prompts
-    outcomes, accepted, accepted_columns = [], [], []
+    outcomes, accepted, accepted_columns, calls = [], [], [], []
     for attempt in range(1, attempts + 1):
         call = lambda asked: materialize(
             generate(asked, fn, parallelism=parallelism, attempts=1), "responses")
@@ -284,8 +288,9 @@ def describe_tables(
         again = pending.join(verdicts.filter("status = 'failed'"), PART_KEY, "left_semi")
         second = call(again.withColumn("prompt", F.concat("prompt", F.lit("\n\n" + REMINDER))))
         reparsed = parse_descriptions(second.filter("outcome = 'ok'"), columns, part_size)
-        errors = first.unionByName(second).filter("outcome = 'provider_error'").select(*PART_KEY, "error")
-        errors = materialize(errors, "errors")
+        both = first.unionByName(second)
+        calls.append(both.select(*PART_KEY, "elapsed_ms"))
+        errors = materialize(both.filter("outcome = 'provider_error'").select(*PART_KEY, "error"), "errors")
         settled = resolve_outcomes(verdicts, reparsed.verdicts).join(errors, PART_KEY, "left_anti")
         outcomes.append(settled)
         for result in (parsed, reparsed):
@@ -300,7 +305,8 @@ def describe_tables(
             outcomes.append(errors.select(*PART_KEY, F.lit("provider_error").alias("event"),
                                           F.col("error").alias("error_reason")))
     union = lambda parts: materialize(_stack(parts), "described")
-    events, descriptions, column_rows = union(outcomes), union(accepted), union(accepted_columns)
+    spent = _stack(calls).groupBy(*PART_KEY).agg(F.sum("elapsed_ms").alias("elapsed_ms"))
+    events, descriptions, column_rows = union(outcomes).join(spent, PART_KEY), union(accepted), union(accepted_columns)
     # A table is described when all of its parts are; part 0 speaks for the table.
     whole = events.groupBy(*TABLE_KEY).agg(F.bool_and(F.col("event").isin("ok", "parse_retry")).alias("whole"))
     done = whole.filter("whole").select(*TABLE_KEY)

@@ -615,7 +615,9 @@ SELECT id, strftime(w, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(w) % 100000
         || count(*) FILTER (WHERE least(accuracy, specificity, domain_inference) < 3) || '}}}}' AS payload FROM scores
         UNION ALL SELECT 'descriptions', 'tenants', 'table', '{{"schema":"' || sch || '","table":"' || tbl || '","accuracy":'
         || accuracy || ',"specificity":' || specificity || ',"domain_inference":' || domain_inference || '}}'
-        FROM scores WHERE status = 'ok'""", SCORES),
+        FROM scores WHERE status = 'ok'
+        UNION ALL SELECT 'descriptions', 'tenants', 'evaluated', '{{"schema":"' || sch || '","table":"' || tbl || '"}}'
+        FROM scores""", SCORES),
     "s17_ground_truth": _catalog("""SELECT k * 100 + p AS item_id,
         CASE WHEN k % 9 = 0 THEN '' WHEN k % 9 <> 1 THEN tbl END AS query,
         CASE WHEN k % 9 < 2 THEN 'missing query' WHEN k % 7 < 2 THEN 'expected must be strings' END AS error FROM tabs"""),

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartolake.schema import EDGE, TABLE_KEY
+
 ARTIFACT_VERSION = 1
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
@@ -25,6 +27,11 @@ def envelope(mode: str, bundle: str, metrics: DataFrame, details: Mapping[str, D
     return reduce(DataFrame.unionByName, parts)
 
 
+def ordered_edges(relationships: DataFrame) -> DataFrame:
+    """Edges in report order: declared first, then inferred, each by source and target."""
+    return relationships.orderBy("kind", *EDGE)
+
+
 def truncated(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame:
     """The first n rows for a printed report, in order."""
     return df.orderBy(*order_by).limit(n)
@@ -36,8 +43,9 @@ def artifact(
 ) -> DataFrame:
     """A versioned record of one judging run, as rows like ``envelope``.
 
-    The ``run`` row carries versions and metrics; each scored table is one
-    ``table`` row.  Append it to a dataset partitioned by run to keep a history.
+    The ``run`` row carries versions and metrics; every judged table is an
+    ``evaluated`` row, and each scored one a ``table`` row with its scores.
+    Append it to a dataset partitioned by run to keep a history.
     """
     now = run_timestamp if run_timestamp is not None else F.date_format(
         F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
@@ -45,7 +53,8 @@ def artifact(
         F.lit(ARTIFACT_VERSION).alias("schema_version"), now.alias("run_timestamp"), F.lit(bundle).alias("bundle"),
         F.lit(generator_model).cast("string").alias("generator_model"), F.lit(judge_model).alias("judge_model"),
         prompt_hash.alias("prompt_version_hash"), F.struct(*summary.columns).alias("metrics"))
-    return envelope("descriptions", bundle, head, {"table": scores.filter("status = 'ok'").drop("status")}).withColumn(
+    details = {"evaluated": scores.select(*TABLE_KEY), "table": scores.filter("status = 'ok'").drop("status")}
+    return envelope("descriptions", bundle, head, details).withColumn(
         "section", F.when(F.col("section") == "metrics", "run").otherwise(F.col("section")))
 
 

@@ -176,6 +176,7 @@ def test_describe_outcomes(spark, catalog, tmp_path):
         "fine": True, "second": True, "hopeless": False, "down": False, "late": True, "mixed": True}
     assert cd.count() == 8
     assert [len((tmp_path / n).read_text()) for n in names] == [1, 2, 2, 3, 3, 4]
+    assert events.filter("elapsed_ms is null or elapsed_ms < 0").count() == 0
     summary = enrich.scan_summary(events).first()
     assert (summary["total"], summary["ok"], summary["failed"], summary["provider_errors"]) == (6, 4, 2, 1)
     assert {r["table"] for r in enrich.failed_tables(events).collect()} == {"hopeless", "down"}

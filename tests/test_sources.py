@@ -236,6 +236,12 @@ def test_envelope_keeps_nulls(spark):
     assert reports.truncated(spark.range(30), ["id"]).count() == 10
 
 
+def test_ordered_edges(fks):
+    rels = fks("s.b.x > s.c.y", "s.a.x > s.c.y").withColumn("kind", F.lit("inferred")).unionByName(
+        fks("s.z.x > s.c.y").withColumn("kind", F.lit("declared")))
+    assert [r["source_table"] for r in reports.ordered_edges(rels).collect()] == ["z", "a", "b"]
+
+
 def test_audit_appends(spark, tmp_path):
     path = str(tmp_path / "audit")
     for _ in range(2):
