@@ -77,10 +77,12 @@ def components(tables: DataFrame, relationships: DataFrame) -> DataFrame:
         .groupBy("node").agg(F.max("is_table").alias("is_table"))
     )
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return nodes.join(roots, "node", "left").select(
+    labels = nodes.join(roots, "node", "left").select(
         F.substring_index("node", _SEPARATOR, 1).alias("schema"),
         F.substring_index("node", _SEPARATOR, -1).alias("table"),
         "is_table", F.coalesce("label", "node").alias("label"))
+    # Sizes and summaries read the labels several times.
+    return materialize(labels, "labels")
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:

@@ -282,9 +282,9 @@ def test_scrub_dsn(spark):
 
 
 def test_scrub_text(spark):
-    df = spark.createDataFrame([("a pg://u:pw@h/x b http://x.org/y c ftp://me:it@z",), (None,)], "m string")
+    df = spark.createDataFrame([("a pg://u:pw@h/x b http://x.org/y c ftp://me:it@z, redis://:k3y@r:1 d http://h:80/a@b",), (None,)], "m string")
     got = [r["m"] for r in D.scrub(df, "m").collect()]
-    assert got == ["a pg://u:***@h/x b http://x.org/y c ftp://me:***@z", None]
+    assert got == ["a pg://u:***@h/x b http://x.org/y c ftp://me:***@z, redis://:***@r:1 d http://h:80/a@b", None]
 
 
 # -- change over time ---------------------------------------------------------
