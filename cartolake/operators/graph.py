@@ -8,15 +8,32 @@ reduced to its minimum before it is joined back.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartolake.operators.quality import endpoints
 from cartolake.operators.skew import lookup_join
 from cartolake.schema import TABLE_KEY
 from cartolake.session import materialize
 
-# Identifiers never hold control characters, so a joined pair is unambiguous.
-_SEPARATOR = "\u0001"
+
+def _node_id(seed: int, schema: str, table: str) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(schema), F.col(table))
+
+
+def _numbered_nodes(nodes: DataFrame) -> tuple[DataFrame, int]:
+    """Nodes with a 64-bit id, and the seed that makes the ids distinct.
+
+    Ids keep the rounds to fixed-width rows.  They are checked for collisions
+    exactly; a collision (in practice none) tries the next seed.
+    """
+    stored = materialize(nodes, "nodes")
+    seed = 0
+    while True:
+        numbered = stored.withColumn("id", _node_id(seed, *TABLE_KEY))
+        if not numbered.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").take(1):
+            return numbered, seed
+        seed += 1
 
 
 def _large_star(edges: DataFrame, total: int) -> DataFrame:
@@ -59,28 +76,25 @@ def components(tables: DataFrame, relationships: DataFrame) -> DataFrame:
     are part of the graph.  Each round is written to the shared checkpoint folder;
     the driver sees a count and at most one row per round.
     """
-    pair = relationships.select(
-        F.concat_ws(_SEPARATOR, "source_schema", "source_table").alias("a"),
-        F.concat_ws(_SEPARATOR, "target_schema", "target_table").alias("b"),
-    ).filter("a != b")
-    first = materialize(
-        pair.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
-    edges, total = first, 2 * first.count()
+    ends = ["source_schema", "source_table", "target_schema", "target_table"]
+    pairs = materialize(
+        relationships.select(*ends)
+        .filter((F.col("source_schema") != F.col("target_schema")) | (F.col("source_table") != F.col("target_table")))
+        .distinct(), "pairs")
+    nodes, seed = _numbered_nodes(
+        tables.select(*TABLE_KEY, F.lit(True).alias("is_table"))
+        .unionByName(endpoints(pairs).withColumn("is_table", F.lit(False)))
+        .groupBy(*TABLE_KEY).agg(F.max("is_table").alias("is_table")))
+    a, b = _node_id(seed, *ends[:2]), _node_id(seed, *ends[2:])
+    edges = pairs.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    total = 2 * pairs.count()
     while total:
         # Rounds never add edges, so the first total bounds every later one.
         edges = materialize(_small_star(_large_star(edges, total), total), "components")
         if _settled(edges):
             break
-    nodes = (
-        tables.select(F.concat_ws(_SEPARATOR, *TABLE_KEY).alias("node"), F.lit(True).alias("is_table"))
-        .unionByName(first.select(F.explode(F.array("u", "v")).alias("node"), F.lit(False).alias("is_table")))
-        .groupBy("node").agg(F.max("is_table").alias("is_table"))
-    )
-    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    labels = nodes.join(roots, "node", "left").select(
-        F.substring_index("node", _SEPARATOR, 1).alias("schema"),
-        F.substring_index("node", _SEPARATOR, -1).alias("table"),
-        "is_table", F.coalesce("label", "node").alias("label"))
+    roots = edges.select(F.col("u").alias("id"), F.col("v").alias("label"))
+    labels = nodes.join(roots, "id", "left").select(*TABLE_KEY, "is_table", F.coalesce("label", "id").alias("label"))
     # Sizes and summaries read the labels several times.
     return materialize(labels, "labels")
 

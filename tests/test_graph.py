@@ -81,3 +81,16 @@ def test_component_may_exceed_the_table_count(tables, fks):
 def test_empty_catalog(tables, fks, spark):
     labels = graph.components(tables("s.a").filter("false"), fks("s.a.x > s.b.y").filter("false"))
     assert tuple(graph.graph_summary(labels).first()) == (0, 0, 0.0, 0.0)
+
+
+def test_id_collisions_try_another_seed(tables, fks, monkeypatch):
+    from pyspark.sql import functions as F
+    real = graph._node_id
+    seeds = []
+
+    def weak(seed, schema, table):
+        seeds.append(seed)
+        return F.lit(7).cast("bigint") if seed == 0 else real(seed, schema, table)
+    monkeypatch.setattr(graph, "_node_id", weak)
+    got, _ = run(tables, fks, ["a", "b", "c", "d"], [("a", "b"), ("c", "d")])
+    assert set(got.values()) == {2} and max(seeds) == 1
