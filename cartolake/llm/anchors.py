@@ -245,9 +245,17 @@ class Corpus:
         """Documents with what to remove: (doc_id, text, whole, spans).
 
         ``whole`` if several documents have the text and it holds a window;
-        ``spans`` are (start, end), unsorted, null where there are none.
+        ``spans`` are (start, end), apart and in order, null where there are none.
         """
-        held = spans.groupBy("cls").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+        def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            for batch in batches:
+                joined = [[{"start": a, "end": b} for a, b in union(s)] for s in batch["spans"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch["cls"], pa.array(joined, kind)], names=["cls", "spans"])
+
+        # Windows of neighbouring anchors overlap: a text is left with a few long spans.
+        held = spans.groupBy("cls").agg(F.collect_set(F.struct("start", "end")).alias("spans")).mapInArrow(
+            merged, "cls binary, spans array<struct<start:long,end:long>>")
         copies = self.classes.select("cls", ((F.col("rows") > 1) & (F.col("units") >= self.window)).alias("whole"))
         marks = materialize(copies.join(held, "cls", "left").filter("whole or spans is not null").select(
             F.col("cls").alias("c"), "whole", F.when(~F.col("whole"), F.col("spans")).alias("spans")), "marks")
