@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from cartolake.llm.common import materialize, mixed, small_side, text_class
 
-SEGMENT_UNITS = 1 << 19
+SEGMENT_UNITS = 1 << 18
 # An anchor text at more places than this is not compared in one task but by window digests.
 HOT_ANCHORS = 20_000
 ODD = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9)
@@ -248,10 +248,8 @@ class Corpus:
         ``spans`` are (start, end), apart and in order, null where there are none.
         """
         def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             for batch in batches:
-                joined = [[{"start": a, "end": b} for a, b in union(s)] for s in batch["spans"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch["cls"], pa.array(joined, kind)], names=["cls", "spans"])
+                yield pa.RecordBatch.from_arrays([batch["cls"], union_lists(batch["spans"])], names=["cls", "spans"])
 
         # Windows of neighbouring anchors overlap: a text is left with a few long spans.
         held = spans.groupBy("cls").agg(F.collect_set(F.struct("start", "end")).alias("spans")).mapInArrow(
@@ -264,6 +262,30 @@ class Corpus:
             "doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
 
 
+def union_lists(spans: pa.ListArray) -> pa.ListArray:
+    """Each list of (start, end) as maximal runs, in order."""
+    flat, sizes = spans.flatten(), np.diff(spans.offsets.to_numpy())
+    start, end = (flat.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    by = np.lexsort((start, row))
+    start, end, row = start[by], end[by], row[by]
+    # Rows one after the other on one line: a run ends where nothing before reaches on.
+    far = row * (int(end.max(initial=0)) + 2)
+    reach = np.maximum.accumulate(end + far) if len(end) else end
+    new = np.flatnonzero(np.concatenate([[True], (start + far)[1:] > reach[:-1]])) if len(end) else by
+    last = np.append(new[1:], len(end)) - 1 if len(end) else by
+    offsets = np.searchsorted(row[new], np.arange(len(sizes) + 1)).astype(np.int32)
+    runs = pa.StructArray.from_arrays([pa.array(start[new]), pa.array(reach[last] - far[last])], names=["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(offsets), runs)
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def union(spans: list[dict] | None) -> list[tuple[int, int]]:
     """Overlapping and touching (start, end) spans as maximal ones, in order."""
     out: list[list[int]] = []

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolake.llm.anchors import ODD, Corpus, digests, lists, prefix, run_hashes, spread, union
+from cartolake.llm.anchors import ODD, Corpus, digests, lists, prefix, run_hashes, sliced, spread, union
 from cartolake.llm.common import materialize, mixed, whole_groups
 
 WINDOW = 35
@@ -20,7 +20,7 @@ SKETCH_ROWS = 2
 CELLS_EACH = 4
 BLOCK_BITS = 16
 KEYS_AT_ONCE = 1 << 21
-ROWS_AT_ONCE = 4096
+ROWS_AT_ONCE = 2048
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -127,7 +127,7 @@ def estimated_repeated(corpus: Corpus) -> DataFrame:
 
 def equal_windows(batches: Iterable[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Runs of windows whose digest occurs more than once, from rows with whole keys."""
-    for table in whole_groups(batches, ["key"], ROWS_AT_ONCE):
+    for table in whole_groups(sliced(batches, ROWS_AT_ONCE), ["key"], ROWS_AT_ONCE):
         pair = np.frombuffer(b"".join(table["digests"].to_pylist()), np.int64).reshape(-1, 2)
         first, n = table["first"].to_numpy(), table["n"].to_numpy()
         start, row = spread(first, first + n - 1), np.repeat(np.arange(len(n)), n)
@@ -181,7 +181,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     marked = corpus.marked(materialize(spans, "spans"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 500):
             kept, counts, removed, runs = [], [], [], []
             for text, whole, spans in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["whole"].to_pylist(),
                                           batch["spans"].to_pylist()):

@@ -9,22 +9,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartolake.llm.anchors import ODD, Corpus, union
+from cartolake.llm.anchors import ODD, Corpus, sliced, union
 from cartolake.llm.common import materialize, mixed, whole_groups
 
 LENGTH = 400
 GRAM = 64
-ROWS_AT_ONCE = 4096
+ROWS_AT_ONCE = 2048
 _SPANS = "cls binary, start long, end long, repeat_id long, repeat_length long"
 
 
 def aligned(pool: np.ndarray, start: np.ndarray, size: np.ndarray, step: int) -> np.ndarray:
     """A row of bytes from each start, forwards (step 1) or backwards (-1), zero after its size."""
     width = max(1, int(size.max(initial=0)))
-    at = np.arange(width)
-    inside = at[None, :] < size[:, None]
-    place = np.where(inside, start[:, None] + step * at[None, :], 0)
-    return np.where(inside, pool[place], 0).astype(np.uint8) if len(pool) else np.zeros((len(start), width), np.uint8)
+    out = np.zeros((len(start), width), np.uint8)
+    if len(pool):
+        at = np.arange(width, dtype=np.int32)
+        for i in range(0, len(start), 512):  # the table of places is eight times the bytes
+            inside = at[None, :] < size[i : i + 512, None]
+            place = (start[i : i + 512, None] + step * at[None, :])[inside]
+            out[i : i + 512][inside] = pool[place]
+    return out
 
 
 def sorted_rows(rows: np.ndarray, size: np.ndarray, *first: np.ndarray) -> np.ndarray:
@@ -132,7 +136,7 @@ def maximal_repeats(corpus: Corpus) -> DataFrame:
             names=["key", "cls", "pos", "near", "far", "context"])
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["key"], ROWS_AT_ONCE):
+        for table in whole_groups(sliced(batches, ROWS_AT_ONCE), ["key"], ROWS_AT_ONCE):
             out = repeats(table, length)
             yield pa.RecordBatch.from_arrays(
                 [table["cls"].combine_chunks().take(pa.array(out["row"])), *(pa.array(np.asarray(out[c], np.int64)) for c in (
@@ -172,7 +176,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     marked = corpus.marked(maximal_repeats(corpus))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 500):
             kept, counts, removed, runs = [], [], [], []
             for text, whole, spans in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["whole"].to_pylist(),
                                           batch["spans"].to_pylist()):
