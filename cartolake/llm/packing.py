@@ -18,7 +18,7 @@ END_ID = 2
 GROUP_BYTES = 8 << 20
 STEP_TOKENS = 1 << 17
 # Distinct words a task remembers the ids of.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 700_000
 # Separators to Python's str.split, but not to the tokenizer.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -35,12 +35,14 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
+        import tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
+        # A worker process serves many tasks; what it has learnt stays with the library's module.
+        shared = vars(tokenizers).setdefault("_words_by_file", {})
+        self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache_words = cache_words
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = shared.setdefault(path, {})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [[t] if _ODD_SPACE.search(t) else t.split() for t in texts]
