@@ -9,16 +9,20 @@ from cartolake.schema import COLUMN_KEY, TABLE_KEY
 
 
 def column_drift(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """Columns added, removed or retyped: (change_type, schema, table, column, old_type, new_type)."""
+    """Columns added, removed or retyped: (change_type, schema, table, column, old_type, new_type).
+
+    A column is there if it has a row, whatever its type; unknown types equal each other.
+    """
     stacked = current.select(*COLUMN_KEY, F.lit(True).alias("now"), "data_type").unionByName(
         previous.select(*COLUMN_KEY, F.lit(False).alias("now"), "data_type"))
     pair = stacked.groupBy(*COLUMN_KEY).agg(
+        F.max("now").alias("now"), F.min("now").alias("only_now"),
         F.max(F.when(F.col("now"), F.col("data_type"))).alias("new_type"),
         F.max(F.when(~F.col("now"), F.col("data_type"))).alias("old_type"))
     change = (
-        F.when(F.col("old_type").isNull(), "column_added")
-        .when(F.col("new_type").isNull(), "column_removed")
-        .when(F.col("old_type") != F.col("new_type"), "column_retyped")
+        F.when(F.col("only_now"), "column_added")
+        .when(~F.col("now"), "column_removed")
+        .when(~F.col("old_type").eqNullSafe(F.col("new_type")), "column_retyped")
     )
     return pair.withColumn("change_type", change).filter(F.col("change_type").isNotNull()).select(
         "change_type", *COLUMN_KEY, "old_type", "new_type")
@@ -43,8 +47,8 @@ def table_drift(current: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def _line() -> Column:
-    return F.concat_ws(
-        ":", "column", "data_type", F.col("nullable").cast("string"), F.col("is_primary_key").cast("string"))
+    """A column's structure as JSON with nulls kept: no two structures read the same."""
+    return F.to_json(F.struct("column", "data_type", "nullable", "is_primary_key"), {"ignoreNullFields": "false"})
 
 
 def fingerprints(columns: DataFrame, page_size: int = 1000) -> DataFrame:

@@ -19,7 +19,8 @@ from cartolake.schema import PII_RISKS, SEMANTIC_TYPES, TABLE_KEY
 from cartolake.session import materialize
 
 WIDE_TABLE = 30
-PART_SIZE = 10_000
+# One prompt per table of any width; a smaller part size is the caller's choice.
+PART_SIZE = (1 << 31) - 1
 RAW_KEPT = 500
 ATTEMPTS = 3
 PARALLELISM = 5

@@ -8,7 +8,6 @@ the catalog layout, word patterns and prompt texts.
 from __future__ import annotations
 
 from cartolake.functions import classify as C
-from cartolake.functions.dsn import URL_PASSWORD
 from cartolake.functions.jsonvalue import FLOAT_TEXT, INT_TEXT
 from cartolake.functions.text import FENCE
 from cartolake.operators import enrich, judge
@@ -327,8 +326,8 @@ _PREV = """prev AS (
 
 
 def _prints(name: str, source: str) -> str:
-    return (f"{name} AS (SELECT sch, tbl, sha256(sha256(string_agg(col || ':' || typ || ':' || (NOT is_pk)::VARCHAR || ':' "
-            f"|| is_pk::VARCHAR, chr(10) ORDER BY ord))) AS fp FROM {source} GROUP BY sch, tbl)")
+    return (f"{name} AS (SELECT sch, tbl, sha256(sha256(string_agg('{{\"column\":\"' || col || '\",\"data_type\":\"' || typ || '\",\"nullable\":' "
+            f"|| (NOT is_pk)::VARCHAR || ',\"is_primary_key\":' || is_pk::VARCHAR || '}}', chr(10) ORDER BY ord))) AS fp FROM {source} GROUP BY sch, tbl)")
 
 
 def _connections() -> str:
@@ -599,7 +598,7 @@ SELECT id, strftime(w, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(w) % 100000
         ELSE label END || ' failed: password ''' || CASE WHEN form = 'full' AND k % 3 = 0 THEN '***' ELSE 'p@ss' || c END
         || ''' or ''' || CASE WHEN form = 'full' AND k % 3 <> 0 THEN '***' ELSE 'pw' || c || 'x' END
         || ''' rejected by snowflake.errors; see ftp://bob:***@files/x' AS message FROM labels_""",
-    "p7_scrub_documents": f"SELECT doc_id, md5(regexp_replace(text, {lit(URL_PASSWORD)}, '\\1***@', 'g')) AS text_md5 FROM documents",
+    "p7_scrub_documents": r"SELECT doc_id, md5(regexp_replace(text, '(://[^:/@[:space:]]*):[^[:space:]]+@', '\1:***@', 'g')) AS text_md5 FROM documents",
     "p8_connection_label": _connections() + " SELECT id, label FROM labels_",
     "p8_page_label": f"SELECT page_id, {_host_label('url')} AS label FROM pages",
     "s15_envelope": _catalog("""SELECT 'quality' AS mode, 'tenants' AS bundle, 'metrics' AS section,

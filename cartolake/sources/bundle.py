@@ -64,11 +64,15 @@ def read_bundle(spark: SparkSession, path: str, fmt: str = "parquet") -> Bundle
     try:
         parts = {name: spark.read.schema(ddl).format(fmt).load(f"{path}/{name}") for name, ddl in PARTS.items()}
     except AnalysisException as exc:
-        raise BundleIntegrityError(str(exc).splitlines()[0]) from exc
+        raise BundleIntegrityError(str(exc)) from exc
     problems = check_integrity(parts["tables"], parts["table_descriptions"])
     examples = problems.orderBy("problem", *TABLE_KEY).take(10)
     if examples:
-        raise BundleIntegrityError(", ".join(f"{r['problem']}: {r['schema']}.{r['table']}" for r in examples))
+        counts = ", ".join(f"{r['problem']} x {r['count']}" for r in problems.groupBy("problem").count().orderBy("problem").collect())
+        error = BundleIntegrityError(
+            f"{counts}; for example " + ", ".join(f"{r['problem']}: {r['schema']}.{r['table']}" for r in examples))
+        error.problems = problems  # all of them
+        raise error
     return Bundle(meta=meta, **parts)
 
 

@@ -106,12 +106,12 @@ def discover_columns(
     )
 
 
-def fold_tables(discovered: DataFrame, page_size: int = 1000) -> DataFrame:
+def fold_tables(discovered: DataFrame, page_size: int = (1 << 31) - 1) -> DataFrame:
     """Nest column rows into table rows: (schema, table, page, n_columns, row_count, columns).
 
-    One row per table for any table of up to ``page_size`` ordinals.  Wider
-    tables continue on further pages, so no row and no task holds an unbounded
-    list; reading pages in order gives the whole table.
+    One row per table, however wide.  A caller who gives a ``page_size`` in
+    ordinals gets wider tables on further pages, each with its own ``n_columns``;
+    reading pages in order gives the whole table.
     """
     entry = F.struct("ordinal", "column", "data_type", "nullable", "is_primary_key", "default")
     page = F.floor((F.col("ordinal") - 1) / page_size).cast("int")

@@ -41,7 +41,7 @@ def snapshot(spark: SparkSession, paths: Mapping[tuple[str, str], str], fmt: str
             fields = spark.read.format(fmt).options(**dict(options or {})).load(path).schema
             rows += schema_rows(schema, table, fields)
         except PySparkException as exc:
-            rows.append((schema, table, None, None, None, None, str(exc).splitlines()[0][:500]))
+            rows.append((schema, table, None, None, None, None, str(exc)))
     return spark.createDataFrame(rows, SNAPSHOT)
 
 
@@ -54,5 +54,5 @@ def snapshot_catalog(spark: SparkSession, database: str | None = None) -> DataFr
         try:
             rows += schema_rows(schema, table.name, spark.table(name).schema)
         except PySparkException as exc:
-            rows.append((schema, table.name, None, None, None, None, str(exc).splitlines()[0][:500]))
+            rows.append((schema, table.name, None, None, None, None, str(exc)))
     return spark.createDataFrame(rows, SNAPSHOT)
