@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import bisect
+import json
 import re
+import string
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -17,44 +19,88 @@ END_ID = 2
 # Documents of about so many bytes are packed by one task, independently of all others.
 GROUP_BYTES = 8 << 20
 STEP_TOKENS = 1 << 17
-# Distinct words a task remembers the ids of.
-CACHE_WORDS = 700_000
+# Distinct words a worker remembers the ids of, about.
+CACHE_WORDS = 900_000
 # Separators to Python's str.split, but not to the tokenizer.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+# Fixed value: how a tokenizer with letters, digits and other characters apart cuts words.
+_LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Letters that normalisation leaves single letters.
+_LATIN = frozenset(string.ascii_letters) | {chr(c) for c in range(0xC0, 0x100)} - {"×", "÷"}
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+# Byte-level models name a byte by its Latin-1 character, those without a visible one by the characters from 256 on.
+_HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]
+_BYTE_LETTERS = {b: 256 + i for i, b in enumerate(_HIDDEN)}
 
 _PIECE = "doc_id long, start long, length long, doc_tokens long, crc long, ids binary, group long"
 PACKED = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
           "tier long, step_id long")
 
 
-class WordTokenizer:
-    """Ids of whole texts, word by word.
+class WordTokenizer(dict):
+    """Ids of whole texts, word by word; as a dict, the ids of each word met so far.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words in turn; a corpus repeats its words.
+    are those of its words in turn; a corpus repeats its words.  If it also
+    lower-cases and parts letters from punctuation, a word has the ids of its
+    stem in lower case and of its tail of punctuation, which repeat more often.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         import tokenizers
 
-        # A worker process serves many tasks; what it has learnt stays with the library's module.
-        shared = vars(tokenizers).setdefault("_words_by_file", {})
+        super().__init__()
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache_words = cache_words
-        self.known: dict[str, bytes] = shared.setdefault(path, {})
+        self.special = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
+        shape = json.loads(self.tokenizer.to_str())
+        normal = [s["type"] for s in (shape.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (shape.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.parts_words = (
+            normal == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+            and cuts[0]["pattern"].get("Regex") == _LETTERS_APART and not cuts[1]["add_prefix_space"]
+            and not cuts[1]["use_regex"])
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._parts(word) if self.parts_words else None
+        if ids is None:
+            ids = self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        self[word] = ids
+        return ids
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
+
+    def _parts(self, word: str) -> bytes | None:
+        """The ids of a word by way of simpler words; None if there are none."""
+        if _LETTERS.fullmatch(word):
+            lower = word.lower()
+            if lower != word:
+                return self[lower]
+            # One piece of letters: the model alone tells its ids.
+            return self._bytes([t.id for t in self.tokenizer.model.tokenize(
+                word.encode().decode("latin-1").translate(_BYTE_LETTERS))])
+        stem = word.rstrip(string.punctuation)
+        if stem != word and stem[-1:] in _LATIN and not any(s in word.lower() for s in self.special):
+            return self[stem] + self[word[len(stem):]]
+        return None
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[t] if _ODD_SPACE.search(t) else t.split() for t in texts]
-        if len(self.known) > self.cache_words:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for word, code in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[word] = np.array(code.ids, self.kind).tobytes()
-        known = self.known.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        if len(self) > self.cache_words:
+            self.clear()
+        ids = self.__getitem__
+        return [b"".join(map(ids, [t] if _ODD_SPACE.search(t) else t.split())) for t in texts]
+
+
+def words_of(path: str) -> WordTokenizer:
+    """The tokenizer of a worker process, which serves many tasks: what it has learnt stays with the library's module."""
+    import tokenizers
+
+    shared = vars(tokenizers).setdefault("_words_by_file", {})
+    if path not in shared:
+        shared[path] = WordTokenizer(path)
+    return shared[path]
 
 
 def crc(ids: np.ndarray) -> int:
@@ -189,7 +235,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, tiers: tuple[int, ...] = TIERS
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("group"))
 
     def tokenized(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer_path)
+        words = words_of(tokenizer_path)
         end = np.array([end_id], words.kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -208,7 +254,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, tiers: tuple[int, ...] = TIERS
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    kind = WordTokenizer(tokenizer_path).kind
+    kind = words_of(tokenizer_path).kind
 
     def packed(table: pa.Table) -> pa.Table:
         group = table["group"][0].as_py()

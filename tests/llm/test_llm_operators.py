@@ -256,7 +256,8 @@ def test_word_tokenizer_is_the_tokenizer():
     from tokenizers import Tokenizer
 
     plain, words = Tokenizer.from_file(tokenizer()), packing.WordTokenizer(tokenizer(), cache_words=3)
-    texts = ["a\x1cb c", "café  y'll we're <|endoftext|> z<|endoftext|>q", "ΣΣ Σ k", "", "  ", "日本 語 3.14", "\x85a\xa0b"]
+    texts = ["a\x1cb c", "café  y'll we're <|endoftext|> z<|endoftext|>q", "ΣΣ Σ k", "", "  ", "日本 語 3.14", "\x85a\xa0b",
+             "Élan!! ÀÉÿ ß? İ## क़... don't'' I'LL. é's-- x\u0338= é—. <|ENDOFTEXT|>. a<|endoftext|>, '' É''s µª.", "The the THE, the."]
     for _ in range(2):
         got = [np.frombuffer(b, words.kind).tolist() for b in words.encode(texts)]
         assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
