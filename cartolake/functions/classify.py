@@ -20,7 +20,8 @@ def _words(*words: str) -> str:
 # Direct identifiers of a person.
 HIGH = _words("e?mail", "email_address", "phone", "mobile", "ssn", "national_id", "passport",
               "credit_card", "card_number", "street", "address", "birth_date", "birthdate", "dob",
-              "first_name", "last_name", "full_name", "surname")
+              "first_name", "last_name", "full_name", "surname",
+              "(customer|user|person|employee|patient|contact|supplier|author)_?name")
 # Free text that may hold names, precise places, devices.
 MEDIUM = _words("text", "comment", "note", "notes", "message", "body", "html", "props", "ip",
                 "ip_address", "device", "device_id", "latitude", "longitude", "fingerprint")
@@ -34,13 +35,19 @@ PEOPLE = _words("customer", "customers", "user", "users", "person", "people", "e
 KEY_NAME = "(^|_)(id|key|uuid)$|key$"
 NUMERIC_TYPE = "^(tinyint|smallint|int|integer|bigint|numeric|decimal|float|real|double)"
 TEXT_TYPE = "^(string|text|varchar|char|boolean|date|timestamp)"
-MEASURE_NAME = ("(price|bal|amount|total|count|quantity|discount|tax|size|value|quality|n_chars"
-                "|duration|score)")
+# Amounts may be joined to the word before them (totalprice); the other words stand alone.
+MEASURE_NAME = ("(price|bal|amount|total|quantity|discount)($|_)"
+                "|(^|_)(count|tax|size|value|quality|n_chars|duration|score)($|_)")
+
+
+def _snake(column: str) -> Column:
+    """The name in lower case, its camelCase words parted by underscores."""
+    return F.lower(F.regexp_replace(F.col(column), "([a-z0-9])([A-Z])", "$1_$2"))
 
 
 def pii_risk(table: str = "table", column: str = "column") -> Column:
     """none, low, medium or high from the column and table name."""
-    name = F.lower(F.col(column))
+    name = _snake(column)
     named_person = name.rlike(PERSON_NAME) & F.lower(F.col(table)).rlike(PEOPLE)
     return (
         F.when(name.rlike(HIGH) | named_person, "high")
@@ -52,7 +59,7 @@ def pii_risk(table: str = "table", column: str = "column") -> Column:
 
 def semantic_type(column: str = "column", data_type: str = "data_type", key: str = "is_primary_key") -> Column:
     """identifier, measure, dimension or other from key flag, name and type."""
-    name, kind = F.lower(F.col(column)), F.lower(F.col(data_type))
+    name, kind = _snake(column), F.lower(F.col(data_type))
     return (
         F.when(F.col(key) | name.rlike(KEY_NAME), "identifier")
         .when(kind.rlike(NUMERIC_TYPE) & name.rlike(MEASURE_NAME), "measure")

@@ -28,7 +28,8 @@ def describe(
 
     Table fields repeat on each row.  A failed or missing description leaves
     NULLs.  ``keys`` (schema, table) selects tables; those it names that are not
-    in the catalog come back as one row with ``known = false``.
+    in the catalog come back as one row with ``known = false``, and a table of the
+    catalog that has no columns as one row with its table fields.
     """
     about_table = tables.select(*TABLE_KEY, "row_count").join(
         table_descriptions.select(
@@ -49,7 +50,10 @@ def describe(
     if keys is None:
         return shown.drop("known")
     unknown = keys.join(tables, TABLE_KEY, "left_anti").withColumn("known", F.lit(False))
-    return shown.unionByName(unknown, allowMissingColumns=True)
+    bare = (
+        keys.join(about_table, TABLE_KEY).join(columns.select(*TABLE_KEY).distinct(), TABLE_KEY, "left_anti")
+        .withColumn("known", F.lit(True)))
+    return shown.unionByName(bare, allowMissingColumns=True).unionByName(unknown, allowMissingColumns=True)
 
 
 def relationships_of(relationships: DataFrame, schema: str, table: str, direction: str = "both") -> DataFrame:

@@ -46,7 +46,7 @@ def _values(rows) -> str:
 
 
 def _risk(table: str, column: str) -> str:
-    name = f"lower({column})"
+    name = f"lower(regexp_replace({column}, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'))"
     return (f"CASE WHEN regexp_matches({name}, {lit(C.HIGH)}) OR (regexp_matches({name}, {lit(C.PERSON_NAME)}) AND "
             f"regexp_matches(lower({table}), {lit(C.PEOPLE)})) THEN 'high' "
             f"WHEN regexp_matches({name}, {lit(C.MEDIUM)}) THEN 'medium' "
@@ -54,7 +54,7 @@ def _risk(table: str, column: str) -> str:
 
 
 def _semantic(column: str, kind: str, key: str) -> str:
-    name = f"lower({column})"
+    name = f"lower(regexp_replace({column}, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'))"
     return (f"CASE WHEN {key} OR regexp_matches({name}, {lit(C.KEY_NAME)}) THEN 'identifier' "
             f"WHEN regexp_matches(lower({kind}), {lit(C.NUMERIC_TYPE)}) AND regexp_matches({name}, {lit(C.MEASURE_NAME)}) "
             f"THEN 'measure' WHEN regexp_matches(lower({kind}), {lit(C.TEXT_TYPE)}) OR "

@@ -44,8 +44,9 @@ def make_meta(spark: SparkSession, connector: str, database: str) -> DataFrame:
 
 
 def write_bundle(bundle: Bundle, path: str, fmt: str = "parquet") -> None:
-    """Overwrite the datasets; meta comes last, so a half-written catalog does not open."""
+    """Overwrite the datasets; meta is emptied first and written last, so a half-written catalog does not open."""
     options = {"ignoreNullFields": "false"} if fmt == "json" else {}
+    bundle.meta.limit(0).write.mode("overwrite").format(fmt).options(**options).save(f"{path}/meta")
     for name in [*PARTS, "meta"]:
         getattr(bundle, name).write.mode("overwrite").format(fmt).options(**options).save(f"{path}/{name}")
 

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from cartolake.functions.dsn import scrub_text
-from cartolake.operators import drift, enrich
+from cartolake.functions import classify
+from cartolake.operators import ask, drift, enrich
 from cartolake.sources import constraints
 
 
@@ -43,3 +44,26 @@ def test_wide_tables_are_one_row(spark):
     folded = constraints.fold_tables(wide.withColumn("row_count", F.lit(1).cast("long"))).collect()
     assert len(folded) == 1 and folded[0].n_columns == 12_000
     assert enrich.table_prompts(wide).count() == 1
+
+
+def test_names_of_people_and_measures(spark):
+    df = spark.createDataFrame([(c, "orders", "int", False) for c in (
+        "customer_name", "emailAddress", "product_name", "account_no", "taxi_zone", "o_totalprice", "tax", "item_count")],
+        "`column` string, `table` string, data_type string, is_primary_key boolean")
+    got = {r["column"]: (r.risk, r.kind) for r in df.select(
+        "column", classify.pii_risk().alias("risk"), classify.semantic_type().alias("kind")).collect()}
+    assert [got[c][0] for c in ("customer_name", "emailAddress", "product_name")] == ["high", "high", "none"]
+    assert [got[c][1] for c in ("account_no", "taxi_zone", "o_totalprice", "tax", "item_count")] == [
+        "dimension", "dimension", "measure", "measure", "measure"]
+
+
+def test_describe_keeps_tables_without_columns(spark):
+    columns = rows(spark, ("a", "int"))
+    tables = spark.createDataFrame([("s", "t", 1), ("s", "bare", 2)], "schema string, `table` string, row_count bigint")
+    td = spark.createDataFrame([], "schema string, `table` string, description string, grain string, "
+                                   "domain_hints array<string>, confidence double")
+    cd = spark.createDataFrame([], "schema string, `table` string, `column` string, description string, "
+                                   "semantic_type string, pii_risk string, confidence double")
+    keys = spark.createDataFrame([("s", "t"), ("s", "bare"), ("s", "ghost")], "schema string, `table` string")
+    got = {(r["table"], r["column"], r.row_count, r.known) for r in ask.describe(columns, tables, td, cd, keys).collect()}
+    assert got == {("t", "a", 1, True), ("bare", None, 2, True), ("ghost", None, None, False)}
