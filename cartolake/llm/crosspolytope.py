@@ -96,14 +96,23 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def links(batch: pa.Table, least: float, plan: tuple) -> dict[str, np.ndarray]:
+def _padded(column: pa.ListArray) -> np.ndarray:
+    """Lists of keys as rows of one width, filled up with the largest value."""
+    sizes = np.diff(column.offsets.to_numpy())
+    out = np.full((len(column), int(sizes.max(initial=0))), np.iinfo(np.int64).max)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = column.flatten().to_numpy()
+    return out
+
+
+def links(batch: pa.Table, least: float) -> dict[str, np.ndarray]:
     """Link counts and local roots of the vectors of whole buckets, sorted by (bucket, cell).
 
-    A pair that shares several buckets counts in the smallest of them alone.
+    A pair that shares several buckets counts in the smallest of them alone;
+    ``own`` lists the buckets a vector shares with any other.
     """
     units, ids, bucket = _units(batch["v"].combine_chunks()), batch["vec_id"].to_numpy(), batch["bucket"].to_numpy()
     cell, block, weight = batch["cell"].to_numpy(), batch["block"].to_numpy(), batch["n"].to_numpy()
-    own = codes(units, batch["label"].to_numpy(), *plan).view(np.int64)
+    own = _padded(batch["own"].combine_chunks())
     run = np.cumsum(np.concatenate([[0], (bucket[1:] != bucket[:-1]) | (cell[1:] != cell[:-1])])) if len(ids) else cell
     ends = np.searchsorted(run, run, side="right")
     found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -185,22 +194,24 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.93, tables: int = TABLE
         .select("rep", "label", F.explode(F.array_distinct("buckets")).alias("bucket")), "bucket-entries")
     sizes = entered.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     blocks = F.ceil(F.col("size") / F.lit(block_rows)).cast("long")
-    placed = entered.join(sizes, "bucket").select(
-        "rep", "label", "bucket", blocks.alias("blocks"),
-        F.pmod(F.xxhash64("rep", "label"), blocks).alias("block"))
+    # The few buckets of a vector come together before they meet it, so it travels to them only once each.
+    shared = entered.join(sizes, "bucket").groupBy("rep", "label").agg(
+        F.collect_list(F.struct("bucket", blocks.alias("blocks"))).alias("shared"))
+    placed = classes.join(shared, ["rep", "label"]).select(
+        "rep", "label", "v", "dim", "n", F.col("shared.bucket").alias("own"), F.inline("shared")).withColumn(
+        "block", F.pmod(F.xxhash64("rep", "label"), F.col("blocks")))
     # Block i meets block j >= i in cell (i, j); an unsplit bucket has the cell (0, 0).
     meets = placed.withColumn("cell", F.explode(F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
         lambda j: F.least(j, F.col("block")) * 65536 + F.greatest(j, F.col("block")))))
     spark = classes.sparkSession
-    carried = meets.select("rep", "label", "bucket", "block", "cell").join(
-        classes.select("rep", "label", "v", "dim", "n"), ["rep", "label"])
+    carried = meets.select("rep", "v", "dim", "n", "own", "bucket", "block", "cell")
     together = carried.repartition(F.col("bucket"), F.col("cell")).sortWithinPartitions("dim", "bucket", "cell")
 
     def linked(batches):
         for table in whole_groups(batches, ["dim", "bucket", "cell"]):
             for part in _one_dim(table.rename_columns(["vec_id" if c == "rep" else c for c in table.column_names])):
-                out = links(part, least, plan)
+                out = links(part, least)
                 yield pa.RecordBatch.from_arrays([pa.array(out[c]) for c in ("vec_id", "n", "root")],
                                                       names=["rep", "n", "root"])
 
