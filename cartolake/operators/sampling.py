@@ -120,14 +120,14 @@ def decide(limit: Column, known: Column, row_count: Column, default: int = DEFAU
     ok = outcome == "ok"
     return [
         outcome.alias("outcome"), asked.alias("limit_requested"), F.when(ok, asked).alias("limit_effective"),
-        F.when(ok, F.least(row_count, asked.cast("bigint"))).alias("rows_returned"),
+        F.when(ok & row_count.isNotNull(), F.least(row_count, asked.cast("bigint"))).alias("rows_returned"),
     ]
 
 
 def adjudicate(requests: DataFrame, tables: DataFrame, default: int = DEFAULT_ROWS, cap: int = MAX_ROWS) -> DataFrame:
     """Decide sampling requests (request_id, schema, table, limit); never clamps, never reads rows.
 
-    ``rows_returned`` is bounded by the row count when that is known.  Requests
+    ``rows_returned`` follows from the row count and is NULL where that is unknown.  Requests
     for one popular table are spread over tasks.  A streaming ``requests`` works
     the same way, by a plain stream-static join.
     """

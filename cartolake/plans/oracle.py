@@ -482,8 +482,7 @@ SELECT id, strftime(w, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(w) % 100000
         FROM customer""",
     "j9_adjudicate": _catalog("""SELECT request_id, 'sample' AS tool, sch AS "schema", name AS "table", outcome,
         asked AS limit_requested, CASE WHEN outcome = 'ok' THEN asked END AS limit_effective,
-        CASE WHEN outcome = 'ok' AND row_count IS NULL THEN CAST(asked AS BIGINT)
-             WHEN outcome = 'ok' THEN least(row_count, asked) END AS rows_returned
+        CASE WHEN outcome = 'ok' AND row_count IS NOT NULL THEN least(row_count, asked) END AS rows_returned
         FROM (SELECT *, CASE WHEN asked < 1 THEN 'rejected_invalid_limit' WHEN asked > 20 THEN 'rejected_cap'
           WHEN k % 12 = 0 THEN 'rejected_unknown_table' ELSE 'ok' END AS outcome FROM (
           SELECT k, k * 100 + p AS request_id, sch, tbl || CASE WHEN k % 12 = 0 THEN '_x' ELSE '' END AS name, row_count,

@@ -14,6 +14,10 @@ ARTIFACT_VERSION = 1
 _KEEP_NULLS = {"ignoreNullFields": "false"}
 
 
+class GroundTruthError(ValueError):
+    """A ground-truth file without usable queries."""
+
+
 def envelope(mode: str, bundle: str, metrics: DataFrame, details: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """A report as rows (mode, bundle, section, payload): one metrics object, one row per detail.
 
@@ -79,5 +83,22 @@ def ground_truth(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_ground_truth(spark, path: str) -> DataFrame:
-    """Ground truth from JSON lines of {query, expected}."""
-    return spark.read.schema("item_id bigint, query string, expected array<string>").json(path)
+    """(item_id, query, expected) from one JSON document {"queries": [{"query", "expected"}, ...]}.
+
+    Items are numbered from 0 as they stand in the file.  Types are kept apart: a
+    query that is no string, or an expectation that is no list of strings, is NULL
+    and so an error of ``validate_ground_truth``; extra fields are ignored.  A
+    document without a non-empty list of queries raises.
+    """
+    document = spark.read.text(path, wholetext=True).select(
+        F.try_variant_get(F.try_parse_json("value"), "$.queries", "array<variant>").alias("items"))
+    files = document.select(F.coalesce(F.size("items"), F.lit(-1)).alias("n")).take(2)
+    if len(files) != 1 or files[0]["n"] < 1:
+        raise GroundTruthError(f"{path}: expected one JSON document with a non-empty list 'queries'")
+    is_text = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")) == "STRING"
+    query, expected = (F.try_variant_get("item", f"$.{name}", kind) for name, kind in (
+        ("query", "variant"), ("expected", "array<variant>")))
+    return document.select(F.posexplode("items").alias("item_id", "item")).select(
+        F.col("item_id").cast("bigint").alias("item_id"),
+        F.when(is_text(query), F.try_variant_get("item", "$.query", "string")).alias("query"),
+        F.when(F.forall(expected, is_text), F.try_variant_get("item", "$.expected", "array<string>")).alias("expected"))

@@ -79,7 +79,7 @@ REQUESTS = [(1, "s", "a", None), (2, "s", "a", 20), (3, "s", "a", 21), (4, "s",
             (6, "s", "gone", 99), (7, "s", "b", 7), (8, "s", "gone", -1)]
 WANT = {1: ("ok", 5, 5, 3), 2: ("ok", 20, 20, 3), 3: ("rejected_cap", 21, None, None),
         4: ("rejected_invalid_limit", 0, None, None), 5: ("rejected_unknown_table", 5, None, None),
-        6: ("rejected_cap", 99, None, None), 7: ("ok", 7, 7, 7), 8: ("rejected_invalid_limit", -1, None, None)}
+        6: ("rejected_cap", 99, None, None), 7: ("ok", 7, 7, None), 8: ("rejected_invalid_limit", -1, None, None)}
 REQUEST_DDL = "request_id bigint, schema string, `table` string, `limit` int"
 
 

@@ -228,6 +228,27 @@ def test_ground_truth(spark):
     assert queries.count() == 2 and expected.count() == 2
 
 
+def test_read_ground_truth(spark, tmp_path):
+    file = tmp_path / "truth.json"
+    file.write_text("""{"queries": [
+      {"query": "orders", "expected": ["shop.orders"]}, {"query": 5, "expected": ["a"]}, {"query": "q", "expected": [1, "b"]},
+      {"query": "q", "expected": [null]}, {"query": "q", "expected": "a"}, "text", {"query": "none", "expected": [], "more": 1},
+      {"query": "", "expected": []}, null]}""")
+    rows = reports.validate_ground_truth(reports.read_ground_truth(spark, str(file))).orderBy("item_id").collect()
+    assert [r["item_id"] for r in rows] == list(range(9))
+    types = "expected must be strings"
+    assert [r["error"] for r in rows] == [
+        None, "missing query", types, types, types, "missing query", None, "missing query", "missing query"]
+    assert rows[0]["expected"] == ["shop.orders"] and rows[6]["expected"] == []
+
+
+@pytest.mark.parametrize("text", ["", "{", "[]", "{}", '{"queries": []}', '{"queries": "q"}', '{"queries": null}'])
+def test_ground_truth_without_queries(spark, tmp_path, text):
+    (tmp_path / "truth.json").write_text(text)
+    with pytest.raises(reports.GroundTruthError):
+        reports.read_ground_truth(spark, str(tmp_path / "truth.json"))
+
+
 def test_envelope_keeps_nulls(spark):
     metrics = spark.createDataFrame([(1, None)], "a int, b double")
     rows = reports.envelope("quality", "b1", metrics, {"orphan": spark.range(2)}).collect()
