@@ -12,6 +12,9 @@ from cartolake.llm.common import WORD, kept_ids, materialize, read, small_side
 from cartolake.llm.queries import tokenizer
 from cartolake.session import checkpoint_dir
 
+# Fixed value: near copies share this part of their word shingles; op8_near_documents has a contract of its own (85).
+NEAR_PERCENT = 80
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a classifier fitted on the labelled ones does not call toxic."""
@@ -34,7 +37,7 @@ def one_of_each(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id; rows without id stay."""
-    kept = materialize(minhash.near_documents(docs).filter("kept").select("doc_id"), "kept")
+    kept = materialize(minhash.near_documents(docs, percent=NEAR_PERCENT).filter("kept").select("doc_id"), "kept")
     left = kept_ids(docs, kept)
     return one_of_each(left.filter("doc_id is not null"), ["doc_id"]).unionByName(left.filter("doc_id is null"))
 

@@ -31,6 +31,17 @@ def test_near_copies_leave_one_row(spark, docs):
     assert sorted((r.doc_id or 0) for r in got.collect()) == [0, 0, 1, 3, 4, 5]
 
 
+def test_near_copies_from_four_fifths_on(spark):
+    """86 of 106 shingles (0.81) make a near copy, 81 of 111 (0.73) do not."""
+    words = [f"w{i}" for i in range(100)]
+    changed = lambda *at: " ".join("new" + w if i in at else w for i, w in enumerate(words))
+    other = lambda *at: changed(*at).replace("w", "v")
+    rows = [(1, changed(), "en", "a", 0), (2, changed(30, 60), "en", "a", 0), (3, other(), "en", "a", 0),
+            (4, other(20, 45, 70), "en", "a", 0)]
+    got = cp.drop_near_copies(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4]
+
+
 def test_private_data_go(spark, docs):
     got = cp.replace_private(spark, docs, "").collect()
     assert len(got) == len(ROWS)
