@@ -13,16 +13,41 @@ KEY = "surrogate-key"
 # What counts as an entity, most specific first.  A kind's number is its place here.
 TITLES_FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|Г-жа|Госпожа"
 TITLES_MALE = "Mr|Herr|Monsieur|Señor|Sr|Signor|Г-н|Господин"
+IP = r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])"
+SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
+LOCAL_PHONES = (r"\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?!\w)", r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])")
+GROUPED_CARD = "|".join(rf"(?:[0-9]{{4}}(?:{s}[0-9]{{4}}){{2}}{s}[0-9]{{1,4}}|[0-9]{{4}}{s}[0-9]{{6}}{s}[0-9]{{5}})(?!{s}?[0-9])" for s in " -")
+# Digits after the country code, least and most, of numbering plans; by E.164 a number has 15 at most with its code.
+NATIONAL = {
+    (8, 8): "45 47 65 852", (8, 9): "32 36 51 66 886 971 972", (8, 10): "20 60 63 64 82 234", (8, 12): "62",
+    (9, 9): "27 31 33 34 40 41 48 56 61 212 254 351 380 420 421 966", (9, 10): "44 81 84 92", (6, 11): "39 49",
+    (7, 9): "353", (7, 10): "46", (10, 10): "1 7 30 52 57 90 91 98", (10, 11): "54 55 86",
+}
+COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2}"
+
+
+def _international() -> str:
+    """Phones with a country code: as long as its plan says, else 5 to 15 digits.
+
+    Where the length is open, no group after the first begins another entity.
+    """
+    others = "|".join((IP, SSN, GROUPED_CARD, *LOCAL_PHONES))
+    first = r"[ .-]?\(?[0-9]{2}\)?"
+    digits = lambda least, most: rf"(?:(?:[ .-](?=\(?[0-9]{{2}}){f'(?!{others})' if least < most else ''})?\(?[0-9]\)?){{{least},{most}}}(?!\w)"
+    plans = [f"(?:{codes.replace(' ', '|')}){first}{digits(least - 2, most - 2)}" for (least, most), codes in NATIONAL.items()]
+    plans += [f"[0-9]{{{n}}}{first}{digits(2, 13 - n)}" for n in (3, 2, 1)]
+    return rf"(?<![\w+])\+(?:{'|'.join(plans)})"
+
+
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
     "secret": r"\b(?i:password|passwd|pwd|token|secret|api[_-]?key) {0,2}[=:] {0,2}[\"']?[A-Za-z0-9_+/-]{8,}",
-    "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])",
-    "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+    "ip": rf"(?<![\w.]){IP}",
+    "ssn": rf"(?<![\w-]){SSN}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\w+.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
-    "phone": (r"(?<![\w+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}(?!\w)|(?<!\w)\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?!\w)"
-              r"|(?<![\w.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])"),
+    "phone": rf"{_international()}|(?<!\w){LOCAL_PHONES[0]}|(?<![\w.-]){LOCAL_PHONES[1]}",
     "name": rf"\b(?:{TITLES_FEMALE}|{TITLES_MALE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -81,7 +106,8 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
         return F.concat(syllable(words, 0), syllable(words, 2), F.when(attempt > 1, syllable(words, 4)).otherwise(""),
                         F.when(attempt > 3, syllable(words, 6)).otherwise(""), end)
 
-    digits = _mapped(norm, stream, F.when(kind == "phone", F.greatest(F.length(norm) - 10, F.lit(0)))
+    digits = _mapped(norm, stream, F.when(
+        kind == "phone", F.when(F.length(norm) > 10, F.length(F.regexp_extract(norm, f"^({COUNTRY})", 1))).otherwise(0))
                      .when(kind == "card", 1).when(kind == "iban", 2).when(kind == "key", 4).otherwise(0))
     body = F.substring(digits, F.lit(1), F.length(digits) - 1)
     # The last digit that makes the checksum that of the original.

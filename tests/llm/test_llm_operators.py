@@ -292,6 +292,31 @@ def test_surrogates(spark):
     assert surrogates.pseudonymise(df.limit(0)).count() == 0
 
 
+def test_surrogates_of_phones_end_where_the_phone_ends(spark):
+    """What follows a phone is no part of it, and no digit but the country code stays."""
+    phone = "+1 (826) 555-4081"
+    rows = [(1, phone, 1), (2, phone + " 190.137.223.204 du", 2), (3, phone + " 2024 was", 1), (4, phone + " 4984763833005551", 2),
+            (5, phone + " 4984 7638 3300 5551", 2), (6, phone + " 123-45-6789", 2), (7, phone + " (988) 555-2485.", 2),
+            (8, "+49 30 12345 4984 7638 3300 5551", 2), (9, "+49 30 12345 190.137.223.204", 2),
+            (10, "+44 20 7946 0958 1999", 1), (11, "+351 912 345 678", 1), (12, "+49 30 12345 123-45-6789", 2),
+            (13, "+999 12 3456 7890 12345678", 1), (14, "+44 20 7946 2012", 1), (15, "+1 826-555-4081 12 items", 1),
+            (16, "+49 30 12345 (988) 555-2485", 2)]
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: (r.text, r.n_entities) for r in surrogates.pseudonymise(df).collect()}
+    assert {i: n for i, (_, n) in got.items()} == {i: n for i, _, n in rows}
+    new = got[1][0]
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", new) and new != phone
+    for i in (2, 3, 4, 5, 6, 7):
+        assert got[i][0].startswith(new + " "), got[i]
+    assert re.fullmatch(r" 10\.\d+\.\d+\.\d+ du", got[2][0][len(new):])
+    assert got[3][0] == new + " 2024 was" and got[10][0].endswith(" 1999") and got[15][0].endswith(" 12 items")
+    assert got[4][0][len(new) + 1:] == got[5][0][len(new) + 1:].replace(" ", "") != "4984763833005551"
+    assert got[8][0].endswith(got[5][0][len(new):]) and got[9][0].endswith(got[2][0][len(new):-3])
+    assert got[12][0].endswith(got[6][0][len(new):]) and got[16][0].endswith(got[7][0][len(new):-1])
+    assert got[11][0].startswith("+351 ") and "912 345" not in got[11][0]
+    assert re.fullmatch(r"\+999 (?!12 3456 7890)\d\d \d{4} \d{4} 12345678", got[13][0]) and "2012" not in got[14][0]
+
+
 def test_surrogates_stay_distinct(spark):
     """Four-digit secrets are few: many collide at first, or are in use."""
     entities = spark.range(3000).select(F.lit("secret").alias("kind"), F.lpad(F.col("id").cast("string"), 4, "0").alias("norm"))
