@@ -1,9 +1,16 @@
-"""Licences of files: sparse TF-IDF cosine of lines to templates, and inheritance from the nearest directory."""
+"""Licences of files: sparse TF-IDF cosine of lines, headers and whole texts to templates, and inheritance from the nearest directory."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +37,17 @@ HINT = r"(?i)\b(?:licen[sc]ed?|licensing|released under|public domain|spdx-licen
 LEAST_COSINE = 0.6
 LINE = "\n|(?<=[.!?]) (?=\\p{Lu})"
 
+# Texts of licences, and the notices that stand at the head of files: named by licence, then what they are.
+BODIES = {p.name.removesuffix(".txt"): p.read_text(encoding="utf-8") for p in sorted(
+    (Path(__file__).parent / "license_texts").glob("*.txt"))}
+_TOKEN = re.compile(r"[a-z0-9](?:[a-z0-9.+-]*[a-z0-9+-])?")
+_BREAK = re.compile(r"\n|(?<=[.!?]) (?=(.))")
+_COMMENT = re.compile(r"(?:\s*(?:/\*.*?(?:\*/|\Z)|<!--.*?(?:-->|\Z)|\"{3}.*?(?:\"{3}|\Z)|'{3}.*?(?:'{3}|\Z)|(?:#|//|--|;|%|\*)[^\n]*))+", re.S)
+
+
+def _of(name: str) -> str:
+    return re.sub(r"\.(?:header|whole)$", "", name)
+
 
 def tokens(line: Column) -> Column:
     """Lower-cased runs of letters, digits, dots, hyphens and pluses, without dots at the end."""
@@ -77,11 +95,94 @@ def notices(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TEMPLATE
     return lines.join(small_side(best, F.length("line") + 64), "line").select("cls", "at", "license", "cosine").distinct()
 
 
+def _matcher(bodies: Mapping[str, str], least: float):
+    """From a text to (licence, cosine, where its block ends) by the best template, or None.
+
+    A token weighs 1 + log of its count, times log of the number of templates to
+    that of those that hold it: what all licences say says nothing.
+    """
+    held = [Counter(_TOKEN.findall(t.lower())) for t in bodies.values()]
+    df = Counter(t for h in held for t in h)
+    number = {t: i for i, t in enumerate(sorted(df))}
+    foreign = math.log(len(held) + 1)
+    idf = np.array([math.log((len(held) + 1) / (df[t] + 1)) for t in number])
+    known = np.zeros((len(held), len(number)))
+    for row, h in zip(known, held):
+        for t, n in h.items():
+            row[number[t]] = (1 + math.log(n)) * idf[number[t]]
+    known /= np.linalg.norm(known, axis=1, keepdims=True)
+    names = [_of(n) for n in bodies]
+    sizes = sorted({n * part // 4 for h in held for n in [sum(h.values())] for part in (4, 5)})
+
+    def of(text: str) -> tuple[str, float, int] | None:
+        lowered = text.lower()
+        found = list(_TOKEN.finditer(lowered))
+        if not found:
+            return None
+        place: dict[str, int] = {}
+        ids = np.array([number[t] if t in number else len(number) + place.setdefault(t, len(place)) for t in (
+            m.group() for m in found)])
+        if not (ids < len(number)).any():
+            return None
+        comment = _COMMENT.match(lowered)
+        ends = {min(n, len(ids)) for n in sizes} | {len(ids)}
+        if comment:
+            ends.add(sum(m.end() <= comment.end() for m in found))
+        best = None
+        for end in sorted(ends - {0}):
+            tf = np.bincount(ids[:end], minlength=len(number)).astype(np.float64)
+            tf[tf > 0] = 1 + np.log(tf[tf > 0])
+            own, rest = tf[:len(number)] * idf, tf[len(number):] * foreign
+            norm = math.sqrt(own @ own + rest @ rest)
+            if norm:
+                cosines = known @ own / norm
+                i = int(cosines.argmax())
+                if cosines[i] >= least and (best is None or cosines[i] > best[1]):
+                    best = names[i], float(cosines[i]), len(text) if end == len(ids) else found[end - 1].end()
+        return best
+
+    return of
+
+
+def bodies_of(docs: DataFrame, bodies: Mapping[str, str] = BODIES, least: float = LEAST_COSINE) -> DataFrame:
+    """(cls, license, cosine, until): texts that open with a licence or its header, or are one; ``until`` is the first line after it.
+
+    Compared with each template are the text's opening of as many words as the
+    template has, and of a quarter more, for lines before it; the comment the text
+    opens with; and the whole text.  The most similar template counts.
+    """
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _matcher(bodies, least)
+        for batch in batches:
+            out = []
+            for i, text in enumerate(batch["text"].to_pylist()):
+                best = of(text)
+                if best:
+                    breaks = sum(m.group(1) is None or unicodedata.category(m.group(1)) == "Lu"
+                                 for m in _BREAK.finditer(text) if m.start() < best[2])
+                    out.append((i, best[0], round(best[1], 6), breaks + 1))
+            yield pa.RecordBatch.from_arrays([
+                batch["cls"].take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[1] for o in out], pa.string()),
+                pa.array([o[2] for o in out], pa.float64()), pa.array([o[3] for o in out], pa.int32())],
+                names=["cls", "license", "cosine", "until"])
+
+    cls = text_class(F.col("text"))
+    rows = docs.filter("text is not null").select(cls.alias("cls"), "text")
+    return rows.mapInArrow(run, f"cls {_type(rows)}, license string, cosine double, until int").distinct()
+
+
+def _type(rows: DataFrame) -> str:
+    return rows.schema["cls"].dataType.simpleString()
+
+
 def scan(files: DataFrame, *, file_id: str = "doc_id", path: str = "path", is_license_file: Column | None = None,
-         templates: Mapping[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
+         templates: Mapping[str, tuple[str, ...]] = TEMPLATES, bodies: Mapping[str, str] = BODIES,
+         least: float = LEAST_COSINE) -> DataFrame:
     """(doc_id, directory, licenses, license, origin) per file.
 
-    ``licenses`` are all licences whose notices a file holds, sorted.  ``license`` is
+    ``licenses`` are all licences whose notices a file holds, sorted.  A notice is a
+    line that announces a licence, or the licence's text or header that a file opens
+    with or consists of; lines within such a text are no notices of their own.  ``license`` is
     that of its first notice (``origin`` header).  A file without one inherits from
     the nearest directory above it that has a licence file with a notice (``origin``
     directory): the most frequent first notice of that directory's licence files,
@@ -97,7 +198,11 @@ def scan(files: DataFrame, *, file_id: str = "doc_id", path: str = "path", is_li
                         (is_license_file if is_license_file is not None else F.lit(None).cast("boolean")).alias("given"))
     rows = rows.withColumn("holds", F.coalesce("given", named, F.lit(False)) if is_license_file is not None else F.coalesce(
         named, F.lit(False)))
-    found = notices(rows, templates, least)
+    texts = materialize(bodies_of(rows, bodies, least), "licence-texts")
+    lines = notices(rows, templates, least)
+    inside = small_side(texts.select(F.col("cls").alias("c"), "until"), F.lit(40))
+    found = lines.join(inside, F.col("cls") == F.col("c"), "left").filter("until is null or at >= until").select(
+        "cls", "at", "license").unionByName(texts.select("cls", F.lit(0).alias("at"), "license"))
     held = materialize(found.groupBy("cls").agg(
         F.sort_array(F.collect_set("license")).alias("licenses"), F.min_by("license", F.struct("at", "license")).alias("first"),
         F.min("at").alias("at")), "held")

@@ -375,6 +375,27 @@ def test_licenses(spark):
                    7: ("MIT", "header", ["MIT"]), 8: (None, None, []), 9: ("MIT", "directory", [])}
 
 
+def test_licenses_by_their_texts(spark):
+    """Texts that name no licence, as files and as headers in comments; a directory inherits from such a file."""
+    import textwrap
+
+    body = licenses.BODIES
+    assert not any(re.search(licenses.HINT, body[n]) for n in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib"))
+    code = "import os\n" + "def f(x):\n    return os.path.join(x, 'y')\n" * 40
+    lines = lambda n: textwrap.wrap(body[n], 70)
+    starred = lambda n: "/*\n * Copyright (c) 2020 Jane Doe\n" + "".join(f" * {x}\n" for x in lines(n)) + " */\n" + code
+    hashed = lambda n: "#!/bin/sh\n# Copyright 2021\n" + "".join(f"# {x}\n" for x in lines(n)) + code
+    rows = [(1, "a/LICENSE", "Copyright (c) 2020 Jane Doe\n\n" + "\n".join(lines("MIT"))), (2, "a/b/x.py", code),
+            (3, "a/b/y.c", starred("BSD-3-Clause")), (4, "a/b/z.c", starred("BSD-2-Clause")), (5, "a/h.sh", hashed("GPL-3.0.header")),
+            (6, "c/COPYING", body["GPL-3.0.whole"]), (7, "c/d.py", "x"), (8, "e/f.c", hashed("LGPL-3.0.header")),
+            (9, "e/g.c", starred("Zlib")), (10, "e/h.c", hashed("ISC")), (11, "e/i.c", starred("GPL-2.0.header")), (12, "e/j.c", code)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: (r.license, r.origin, r.licenses) for r in licenses.scan(df).collect()}
+    own = {1: "MIT", 3: "BSD-3-Clause", 4: "BSD-2-Clause", 5: "GPL-3.0", 6: "GPL-3.0", 8: "LGPL-3.0", 9: "Zlib", 10: "ISC", 11: "GPL-2.0"}
+    assert got == {**{i: (n, "header", [n]) for i, n in own.items()}, 2: ("MIT", "directory", []),
+                   7: ("GPL-3.0", "directory", []), 12: (None, None, [])}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOCS)
     vecs = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
