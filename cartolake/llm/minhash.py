@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.llm.anchors import ODD, lists, prefix, run_hashes
-from cartolake.llm.common import materialize, mixed, small_side, whole_groups
+from cartolake.llm.common import materialize, mixed, small_side, text_class, whole_groups
 from cartolake.llm.components import components
 from cartolake.llm.substring import _WORD, word_hashes
 
@@ -122,7 +122,7 @@ def stars(names: list[bytes], a: np.ndarray, b: np.ndarray) -> list[tuple[bytes,
 
 
 def near_documents(docs: DataFrame, *, percent: int = LEAST_PERCENT, words: int = SHINGLE_WORDS, bands: int = BANDS,
-                   band_rows: int = BAND_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                   band_rows: int = BAND_ROWS, block_rows: int = BLOCK_ROWS, identity: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): documents whose shingle sets have a Jaccard index of ``percent`` or more.
 
     Documents with the same lower-cased words are one class.  A class has a
@@ -137,7 +137,13 @@ def near_documents(docs: DataFrame, *, percent: int = LEAST_PERCENT, words: int
     Rows without id link with nothing, have no component and are kept.  Rows that
     repeat an id and text are in one component and have the same ``kept``.  An
     empty table gives no rows; other columns are ignored.
+
+    With ``identity`` rows also have ``own`` (``text_class`` of the text), ``cls``
+    and ``first``: whether the row is of its component's smallest id and, of that
+    id's texts in the component, of one class (or is without words or id).
     """
+    extra = ["own"] if identity else []
+
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -147,11 +153,13 @@ def near_documents(docs: DataFrame, *, percent: int = LEAST_PERCENT, words: int
                 keys = band_keys(signatures(sets, bands * band_rows), bands).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     part["doc_id"], pa.array([text_digest(t) for t in texts], pa.binary()),
-                    pa.array([len(s) for s in sets], pa.int64()), lists(list(keys), pa.int64())],
-                    names=["doc_id", "cls", "n", "keys"])
+                    pa.array([len(s) for s in sets], pa.int64()), lists(list(keys), pa.int64()), *(part[c] for c in extra)],
+                    names=["doc_id", "cls", "n", "keys", *extra])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = materialize(rows.mapInArrow(sign, "doc_id long, cls binary, n long, keys array<long>"), "signed")
+    named = rows.withColumn("own", text_class(F.col("text"))) if identity else rows
+    signed = materialize(named.mapInArrow(sign, "doc_id long, cls binary, n long, keys array<long>" + "".join(
+        f", {c} binary" for c in extra)), "signed")
     classes = materialize(signed.filter("n > 0 and doc_id is not null").groupBy("cls").agg(
         F.min("doc_id").alias("rep")), "classes")
     chosen = signed.join(classes.select(F.col("cls").alias("c"), "rep"), (F.col("cls") == F.col("c")) & (
@@ -176,14 +184,17 @@ def near_documents(docs: DataFrame, *, percent: int = LEAST_PERCENT, words: int
         .repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
         .mapInArrow(_verifier(percent), "u binary, v binary"), "verified")
     found = components(verified)
-    least = found.join(classes, F.col("id") == F.col("cls")).groupBy("component").agg(F.min("rep").alias("component_id"))
-    near = found.join(least, "component").select("id", "component_id")
+    least = found.join(classes, F.col("id") == F.col("cls")).groupBy("component").agg(
+        F.min("rep").alias("component_id"), *([F.min(F.struct("rep", "id"))["id"].alias("head")] if identity else []))
+    near = found.join(least, "component").select("id", "component_id", *(["head"] if identity else []))
+    first = F.coalesce((F.col("n") == 0) | ((F.col("doc_id") == F.col("rep")) & (F.col("cls") == F.coalesce("head", "cls"))), F.lit(True))
     return (
         signed.join(classes.select(F.col("cls").alias("c"), "rep"), F.col("cls") == F.col("c"), "left")
         .join(near, F.col("cls") == F.col("id"), "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(
             F.col("doc_id").isNotNull(), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(
-                F.coalesce("component_id", "rep"))).alias("component_id"))
+                F.coalesce("component_id", "rep"))).alias("component_id"),
+            *(["own", "cls", F.when(F.col("doc_id").isNull(), True).otherwise(first).alias("first")] if identity else []))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartolake.llm import minhash, mixing, packing, surrogates, toxicity
-from cartolake.llm.common import WORD, kept_ids, materialize, read, small_side
+from cartolake.llm.common import WORD, materialize, read, small_side, text_class
 from cartolake.llm.queries import tokenizer
 from cartolake.session import checkpoint_dir
 
@@ -36,10 +36,18 @@ def one_of_each(docs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; rows without id stay."""
-    kept = materialize(minhash.near_documents(docs, percent=NEAR_PERCENT).filter("kept").select("doc_id"), "kept")
-    left = kept_ids(docs, kept)
-    return one_of_each(left.filter("doc_id is not null"), ["doc_id"]).unionByName(left.filter("doc_id is null"))
+    """One document of each group of near duplicates, the one with the smallest id; rows without id stay.
+
+    Of one id's different texts each is judged by itself; rows that agree in id and text are one.
+    """
+    rows = minhash.near_documents(docs, percent=NEAR_PERCENT, identity=True).filter("first and doc_id is not null")
+    # Texts with the same words are copies of each other; texts without words are not.
+    same = F.when(F.col("n_shingles") > 0, F.col("cls")).otherwise(F.col("own"))
+    kept = materialize(rows.groupBy(F.col("doc_id").alias("__id"), same.alias("__same")).agg(F.min("own").alias("__kept")).drop(
+        "__same"), "kept")
+    named = docs.filter("doc_id is not null").withColumn("__own", text_class(F.col("text")))
+    left = named.join(small_side(kept, F.lit(48)), (F.col("doc_id") == F.col("__id")) & (F.col("__own") == F.col("__kept")), "left_semi")
+    return one_of_each(left, ["doc_id", "__own"]).drop("__own").unionByName(docs.filter("doc_id is null"))
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

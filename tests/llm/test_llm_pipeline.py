@@ -42,6 +42,17 @@ def test_near_copies_from_four_fifths_on(spark):
     assert sorted(r.doc_id for r in got.collect()) == [1, 3, 4]
 
 
+def test_near_copies_of_ids_with_several_texts(spark):
+    """Each text of an id is judged by itself: one that is a copy goes, one that is not stays."""
+    text = lambda p, *at: " ".join(f"new{p}{i}" if i in at else f"{p}{i}" for i in range(60))
+    rows = [(3, text("a"), "en", "a", 0), (5, text("b"), "en", "a", 0), (5, text("a", 30), "en", "a", 0), (5, text("c"), "de", "b", 1),
+            (5, text("c"), "en", "a", 0), (6, text("d"), "en", "a", 0), (6, text("d", 30), "en", "a", 0), (6, text("d").upper(), "en", "a", 0),
+            (7, text("c", 30), "en", "a", 0), (8, "", "en", "a", 0), (8, " ", "en", "a", 0), (8, "", "en", "b", 0)]
+    got = collections.Counter((r.doc_id, (r.text or " ").lower().split(" ")[0]) for r in cp.drop_near_copies(
+        spark, spark.createDataFrame(rows, SCHEMA).repartition(3), "").collect())
+    assert got == {(3, "a0"): 1, (5, "b0"): 1, (5, "c0"): 1, (6, "d0"): 1, (8, ""): 2}
+
+
 def test_private_data_go(spark, docs):
     got = cp.replace_private(spark, docs, "").collect()
     assert len(got) == len(ROWS)
