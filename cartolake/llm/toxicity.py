@@ -76,21 +76,19 @@ class Model:
         return of
 
 
-def fit_rows(x: np.ndarray, y: np.ndarray, pairs: np.ndarray, ridge: float = RIDGE,
+def fit_rows(x: np.ndarray, y: np.ndarray, swapped: np.ndarray, ridge: float = RIDGE,
              swap_penalty: float = SWAP_PENALTY, rounds: int = 25) -> np.ndarray:
     """Weights (the last is the bias) of a logistic regression by Newton steps.
 
-    Besides the ridge, each row of ``pairs``, the difference between a sentence's
-    features and those of its swapped form, costs ``swap_penalty`` times the
-    square of the score change before the logistic.
+    Besides the ridge, the difference between a sentence's features and those of
+    its swapped form costs ``swap_penalty`` times the square of the score change
+    before the logistic; ``swapped`` is the sum of these differences' outer products.
     """
     n, width = x.shape
     design = np.hstack([x, np.ones((n, 1), x.dtype)]).astype(np.float64)
     penalty = np.eye(width + 1) * ridge
     penalty[-1, -1] = 1e-6
-    if len(pairs):
-        wide = np.hstack([pairs, np.zeros((len(pairs), 1))]).astype(np.float64)
-        penalty += swap_penalty * wide.T @ wide
+    penalty[:-1, :-1] += swap_penalty * swapped
     w = np.zeros(width + 1)
     loss = lambda v: np.logaddexp(0, design @ v).sum() - y @ (design @ v) + v @ penalty @ v / 2
     now = loss(w)
@@ -131,14 +129,42 @@ def _examples(replace: dict[str, str]):
     return run
 
 
+def swap_products(rows: DataFrame, place: dict[str, int]) -> np.ndarray:
+    """The sum of the outer products of all swaps in ``rows``, in terms of the features in ``place``.
+
+    Tasks add up their own; the driver sees a matrix of features by features.
+    """
+    width = len(place)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width), np.int64)
+        for batch in batches:
+            for changes in batch["swapped"]:
+                for change in changes.values or ():
+                    signs = {place[f[1:]]: 1 if f[0] == "+" else -1 for f in change.as_py().split() if f[1:] in place}
+                    if signs:
+                        at, sign = np.array(list(signs)), np.array(list(signs.values()))
+                        total[np.ix_(at, at)] += np.outer(sign, sign)
+        i, j = np.nonzero(total)
+        for at in range(0, len(i), 10_000):
+            a, b = i[at : at + 10_000], j[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(total[a, b])], names=["i", "j", "v"])
+
+    found = rows.filter(F.size("swapped") > 0).select("swapped").mapInArrow(run, "i long, j long, v long").groupBy(
+        "i", "j").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros((width, width))
+    out[found["i"].to_numpy(), found["j"].to_numpy()] = found["v"].to_numpy()
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, fit_rows_most: int = FIT_ROWS, most_features: int = FEATURES,
         groups: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Model:
     """A model from at most ``fit_rows_most`` labelled documents.
 
     ``labels`` has doc_id and toxic (0 or 1; null labels are left out, the larger
     of several counts).  Features are the words and word beginnings whose presence
-    tells most about the label.  The driver holds them and the sample's rows in
-    terms of them, both bounded by the parameters.  Without two different labels
+    tells most about the label.  The driver holds them, the sample's rows in terms
+    of them and a matrix of features by features, all bounded by the parameters.  Without two different labels
     the model scores the share of 1s (a half without labels).
     """
     wanted = (
@@ -164,20 +190,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows_most: int = FIT_ROWS, mo
     best = [r.feature for r in telling.orderBy(F.col("told").desc(), "feature").limit(most_features).select("feature").collect()]
     place = {f: i for i, f in enumerate(best)}
     known = F.split(F.lit("\n".join(best)), "\n")
-    reduced = rows.select("doc_id", "toxic", F.array_intersect("features", known).alias("features"), "swapped")
+    reduced = rows.select("doc_id", "toxic", F.array_intersect("features", known).alias("features"))
     sparse = sorted(reduced.collect(), key=lambda r: (r.doc_id, r.toxic, r.features))
     x, y = np.zeros((len(sparse), len(best)), np.float32), np.array([r.toxic for r in sparse], np.float64)
-    pairs = []
     for i, r in enumerate(sparse):
         x[i, [place[f] for f in r.features]] = 1
-        for change in r.swapped:
-            pair = np.zeros(len(best))
-            for f in change.split():
-                if (at := place.get(f[1:])) is not None:
-                    pair[at] += 1 if f[0] == "+" else -1
-            if pair.any():
-                pairs.append(pair)
-    w = fit_rows(x, y, np.array(pairs).reshape(len(pairs), len(best)))
+    w = fit_rows(x, y, swap_products(rows, place))
     return Model({f: float(v) for f, v in zip(best, w) if abs(v) > 1e-6}, float(w[-1]))
 
 

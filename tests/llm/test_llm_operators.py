@@ -357,6 +357,22 @@ def test_toxicity(spark):
     assert abs(a - b) < abs(c - d) and a < 0.3
 
 
+def test_swaps_are_summed_in_tasks(spark):
+    """The driver gets one matrix, however many sentences hold identity terms."""
+    swaps = [["-a +b", "+b -c"], [], ["-a +b +unknown"] * 50, ["-z +unknown"], ["-b"]]
+    place = {"a": 0, "b": 1, "c": 2, "d": 3}
+    want = np.zeros((4, 4))
+    for change in (c for s in swaps for c in s):
+        row = np.zeros(4)
+        for f in change.split():
+            if f[1:] in place:
+                row[place[f[1:]]] += 1 if f[0] == "+" else -1
+        want += np.outer(row, row)
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(swaps)], "doc_id long, swapped array<string>").repartition(3)
+    assert (toxicity.swap_products(rows, place) == want).all()
+    assert (toxicity.swap_products(rows.limit(0), place) == 0).all() and toxicity.swap_products(rows, {}).shape == (0, 0)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
