@@ -56,7 +56,7 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document is left out, taken, or taken twice; one at a quota's end is cut."""
+    """Sources at their target weights: a document is left out, taken, or taken twice; one at a quota's end is cut after a word."""
     pieces = mixing.mix(docs)[1]
     taken = materialize(pieces.groupBy("doc_id", "source", "size", "key").agg(
         F.collect_list("words").alias("__words")), "taken")
@@ -67,7 +67,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = keyed.join(side, (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__d"))
                         & F.col("source").eqNullSafe(F.col("__s")))
     whole = copies.withColumn("__take", F.explode("__words"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("__take").cast("int")), " ")
+    first = lambda parts: F.slice(parts, 1, F.col("__take").cast("int"))
+    # The words with what stands before each.
+    cut = F.array_join(F.zip_with(first(F.split("text", WORD, -1)), first(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))),
+                                  lambda space, word: F.concat(space, word)), "")
     text = F.when(F.col("__take") < F.col("__n"), cut).otherwise(F.col("text"))
     return whole.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

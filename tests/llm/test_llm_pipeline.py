@@ -72,6 +72,13 @@ def test_mixing_takes_what_the_mix_says(spark, docs):
     assert {k: v for k, v in want.items() if v} == dict(have)
 
 
+def test_a_cut_document_keeps_its_spacing(spark):
+    rows = [(i, "".join(f" w{i}{k}" + ("\n\n  " if k % 3 == 0 else "\t") for k in range(50 * i)), "en", "abc"[i % 3], 0) for i in range(1, 7)]
+    texts, got = {r[0]: r[1] for r in rows}, cp.mix_sources(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert any(r.text != texts[r.doc_id] for r in got)
+    assert all(texts[r.doc_id].startswith(r.text) and r.n_chars == len(r.text) for r in got)
+
+
 def test_run(spark, tmp_path):
     """Toxic documents and copies are gone, and every id of what is left is packed once."""
     words = ["river", "stone", "quiet", "table", "green", "paper", "music", "window"]
