@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
@@ -191,10 +192,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows_most: int = FIT_ROWS, mo
     place = {f: i for i, f in enumerate(best)}
     known = F.split(F.lit("\n".join(best)), "\n")
     reduced = rows.select("doc_id", "toxic", F.array_intersect("features", known).alias("features"))
-    sparse = sorted(reduced.collect(), key=lambda r: (r.doc_id, r.toxic, r.features))
-    x, y = np.zeros((len(sparse), len(best)), np.float32), np.array([r.toxic for r in sparse], np.float64)
-    for i, r in enumerate(sparse):
-        x[i, [place[f] for f in r.features]] = 1
+    # Columns, not rows: a string object per feature would take many times their bytes.
+    sparse = reduced.toArrow().combine_chunks()
+    ids, held = sparse["doc_id"].to_numpy(), sparse["features"]
+    y = sparse["toxic"].to_numpy().astype(np.float64)
+    order = np.lexsort((y, ids)).tolist()
+    same = lambda i: (ids[i], y[i])
+    order = [i for _, run in itertools.groupby(order, same) for run in [list(run)] for i in (
+        sorted(run, key=lambda i: held[i].as_py()) if len(run) > 1 else run)]
+    x, y = np.zeros((len(order), len(best)), np.float32), y[order]
+    for i, r in enumerate(order):
+        x[i, [place[f] for f in held[r].as_py()]] = 1
     w = fit_rows(x, y, swap_products(rows, place))
     return Model({f: float(v) for f, v in zip(best, w) if abs(v) > 1e-6}, float(w[-1]))
 
