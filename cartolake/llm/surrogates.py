@@ -194,7 +194,8 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     written; different entities get different ones, and none is an entity of the
     input.  Surrogates keep the kind: separators, letter case, character classes,
     card prefixes and checksums, country codes, top-level domains, and the gender
-    and script of names; they depend on ``key``.
+    and script of names; they depend on ``key``.  Names are found directly after a
+    listed title only: the same name without a title stays as it is.
 
     Null and empty texts stay and have 0 entities; equal texts stay equal; repeated rows are kept.
     An empty table gives no rows.  Other columns pass through; an ``n_entities``
