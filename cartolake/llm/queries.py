@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartolake.llm import (
-    crosspolytope, kdtree, licenses, minhash, mixing, packing, substring, suffixarray, surrogates, toxicity)
+    crosspolytope, dialogue, kdtree, licenses, minhash, mixing, packing, ranked, rules, substring, suffixarray, surrogates,
+    toxicity)
 from cartolake.llm.common import read
 
 
@@ -41,8 +42,8 @@ def op6_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def held_out(doc_id: str = "doc_id"):
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+def held_out(folds: int = 4, fold: int = 2):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +69,24 @@ def op10_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.best_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = rules.fit(docs, labels.filter(~held_out(5, 0)))
+    return rules.score(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations")
+    return dialogue.repair_report(dialogue.damage(conversations), conversations)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_topk, op2_near_vectors, op3_mix, op4_pack, op5_surrogates, op6_repeated_words, op7_toxicity,
-    op8_near_documents, op9_licenses, op10_repeated_bytes)}
+    op8_near_documents, op9_licenses, op10_repeated_bytes, op11_ranked, op12_quality, op13_conversations)}
 
 # Brute force in SQL where a table's whole pairs or windows can be listed.
 ORACLE = {
@@ -133,5 +149,27 @@ kept AS (
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
   sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+""",
+    "op11_ranked": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
+docs AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM d WHERE len(w) > 0),
+stat AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM docs),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+weight AS (
+  SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, stat GROUP BY term),
+items AS (
+  SELECT item_id, term, count(*)::BIGINT AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+scored AS (
+  SELECT item_id, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))))::BIGINT AS score
+  FROM items JOIN weight USING (term) JOIN tf USING (term) JOIN docs USING (r), stat
+  WHERE doc_id IS NOT NULL GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
 """,
 }
