@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.llm.common import materialize, small_side
@@ -37,6 +36,8 @@ RIDGE = 1.0
 SWAP_PENALTY = 1.0
 THRESHOLD = 0.3
 REMEMBER = 400_000
+# Rows the driver makes dense at a time.
+BLOCK_ROWS = 512
 _TOKEN = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -77,26 +78,49 @@ class Model:
         return of
 
 
-def fit_rows(x: np.ndarray, y: np.ndarray, swapped: np.ndarray, ridge: float = RIDGE,
-             swap_penalty: float = SWAP_PENALTY, rounds: int = 25) -> np.ndarray:
+def fit_rows(held: Sequence[np.ndarray], y: np.ndarray, times: np.ndarray, width: int, swapped: np.ndarray,
+             ridge: float = RIDGE, swap_penalty: float = SWAP_PENALTY, rounds: int = 25) -> np.ndarray:
     """Weights (the last is the bias) of a logistic regression by Newton steps.
 
-    Besides the ridge, the difference between a sentence's features and those of
-    its swapped form costs ``swap_penalty`` times the square of the score change
-    before the logistic; ``swapped`` is the sum of these differences' outer products.
+    Row i holds the features ``held[i]`` and counts ``times[i]`` times.  Besides the
+    ridge, the difference between a sentence's features and those of its swapped form
+    costs ``swap_penalty`` times the square of the score change before the logistic;
+    ``swapped`` is the sum of these differences' outer products.  Rows are made dense
+    ``BLOCK_ROWS`` at a time: memory is that of a few matrices of features by features.
     """
-    n, width = x.shape
-    design = np.hstack([x, np.ones((n, 1), x.dtype)]).astype(np.float64)
-    penalty = np.eye(width + 1) * ridge
-    penalty[-1, -1] = 1e-6
-    penalty[:-1, :-1] += swap_penalty * swapped
+    n = len(y)
+    sizes = np.array([len(h) for h in held], np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    flat = np.concatenate(held) if n else np.zeros(0, np.int16)
+    penalty = swapped * swap_penalty
+    penalty[np.diag_indices(width)] += ridge
+
+    def margins(w: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0.0], np.cumsum(w[flat])])
+        return sums[ends[1:]] - sums[ends[:-1]] + w[-1]
+
+    def penalised(w: np.ndarray) -> np.ndarray:
+        return np.append(penalty @ w[:-1], 1e-6 * w[-1])
+
+    def loss(w: np.ndarray) -> float:
+        z = margins(w)
+        return float((times * (np.logaddexp(0, z) - y * z)).sum() + w @ penalised(w) / 2)
+
     w = np.zeros(width + 1)
-    loss = lambda v: np.logaddexp(0, design @ v).sum() - y @ (design @ v) + v @ penalty @ v / 2
     now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (p - y) + penalty @ w
-        hessian = design.T @ (design * (p * (1 - p))[:, None]) + penalty + 1e-9 * np.eye(width + 1)
+        p = 1 / (1 + np.exp(-np.clip(margins(w), -30, 30)))
+        gradient, hessian = penalised(w), np.zeros((width + 1, width + 1))
+        hessian[:-1, :-1] = penalty
+        hessian[np.diag_indices(width + 1)] += 1e-9
+        hessian[-1, -1] += 1e-6
+        for at in range(0, n, BLOCK_ROWS):
+            part = slice(at, min(at + BLOCK_ROWS, n))
+            dense = np.zeros((part.stop - at, width + 1))
+            dense[:, -1] = 1
+            dense[np.repeat(np.arange(part.stop - at), sizes[part]), flat[ends[at] : ends[part.stop]]] = 1
+            gradient += dense.T @ (times[part] * (p[part] - y[part]))
+            hessian += dense.T @ (dense * (times[part] * p[part] * (1 - p[part]))[:, None])
         step, size = np.linalg.solve(hessian, gradient), 1.0
         while size > 1e-4 and (new := loss(w - size * step)) > now:
             size /= 2
@@ -130,6 +154,17 @@ def _examples(replace: dict[str, str]):
     return run
 
 
+def _places(place: dict[str, int]):
+    """Rows with the places of their features in ``place``, as 16-bit numbers in order."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.array(sorted(place[f] for f in row if f in place), np.int16).tobytes() for row in batch["features"].to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["toxic"], pa.array(held, pa.binary())], names=["doc_id", "toxic", "held"])
+
+    return run
+
+
 def swap_products(rows: DataFrame, place: dict[str, int]) -> np.ndarray:
     """The sum of the outer products of all swaps in ``rows``, in terms of the features in ``place``.
 
@@ -190,29 +225,16 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows_most: int = FIT_ROWS, mo
     telling = counted.withColumn("told", F.round(told, 6)).filter(F.col("told") >= LEAST_EVIDENCE)
     best = [r.feature for r in telling.orderBy(F.col("told").desc(), "feature").limit(most_features).select("feature").collect()]
     place = {f: i for i, f in enumerate(best)}
-    known = F.split(F.lit("\n".join(best)), "\n")
-    reduced = rows.select("doc_id", "toxic", F.array_intersect("features", known).alias("features"))
-    # Columns, not rows: a string object per feature would take many times their bytes.
-    sparse = reduced.toArrow().combine_chunks()
-    ids, held = sparse["doc_id"].to_numpy(), sparse["features"]
-    y = sparse["toxic"].to_numpy().astype(np.float64)
-    order = np.lexsort((y, ids)).tolist()
-    same = lambda i: (ids[i], y[i])
-    order = [i for _, run in itertools.groupby(order, same) for run in [list(run)] for i in (
-        sorted(run, key=lambda i: held[i].as_py()) if len(run) > 1 else run)]
-    x, y = np.zeros((len(order), len(best)), np.float32), y[order]
-    for i, r in enumerate(order):
-        x[i, [place[f] for f in held[r].as_py()]] = 1
-    w = fit_rows(x, y, swap_products(rows, place))
+    held = rows.select("doc_id", "toxic", "features").mapInArrow(_places(place), "doc_id long, toxic int, held binary")
+    # Rows alike count once, with their number: a repeated document takes no more room here.
+    sparse = held.groupBy("doc_id", "toxic", "held").agg(F.count("*").alias("times")).orderBy("doc_id", "toxic", "held").toArrow()
+    w = fit_rows([np.frombuffer(h, np.int16) for h in sparse["held"].to_pylist()], sparse["toxic"].to_numpy().astype(np.float64),
+                 sparse["times"].to_numpy().astype(np.float64), len(best), swap_products(rows, place))
     return Model({f: float(v) for f, v in zip(best, w) if abs(v) > 1e-6}, float(w[-1]))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on), from whole texts alone.
-
-    A null text scores like an empty one.  Columns of ``docs`` with these names
-    are replaced; repeated rows score alike; an empty table gives no rows.
-    """
+def score_of(text: Column, model: Model) -> Column:
+    """The score (0 to 1) of a whole text; a null text scores like an empty one."""
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = model.scorer()
         for texts in parts:
@@ -221,6 +243,14 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     from typing import Iterator as Parts
 
     run.__annotations__ = {"parts": Parts[pa.Array], "return": Parts[pa.Array]}
-    scored = F.arrow_udf(run, "double")
-    return docs.withColumn("score", scored("text")).withColumn(
+    return F.arrow_udf(run, "double")(text)
+
+
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on), from whole texts alone.
+
+    A null text scores like an empty one.  Columns of ``docs`` with these names
+    are replaced; repeated rows score alike; an empty table gives no rows.
+    """
+    return docs.withColumn("score", score_of(F.col("text"), model)).withColumn(
         "predicted", F.when(F.col("score") >= threshold, 1).otherwise(0).cast("int"))
