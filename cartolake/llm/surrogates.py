@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartolake.functions.text import let
 from cartolake.llm.common import materialize, small_side, text_class
 
 KEY = "surrogate-key"
 # What counts as an entity, most specific first.  A kind's number is its place here.
 TITLES_FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Signora|Г-жа|Госпожа"
+TITLES_NEUTRAL = "Dr|Prof|Professor|Doctor|Doktor|Docteur|Доктор|Профессор"
 TITLES_MALE = "Mr|Herr|Monsieur|Señor|Sr|Signor|Г-н|Господин"
 IP = r"(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"
@@ -40,7 +42,7 @@ def _international() -> str:
 
 
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-][A-Za-z0-9.-]*(?<=[A-Za-z0-9-])\.[A-Za-z]{2,}",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
     "secret": r"\b(?i:password|passwd|pwd|token|secret|api[_-]?key) {0,2}[=:] {0,2}[\"']?[A-Za-z0-9_+/-]{8,}",
     "ip": rf"(?<![\w.]){IP}",
@@ -48,16 +50,19 @@ PATTERNS = {
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\w+.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])",
     "phone": rf"{_international()}|(?<!\w){LOCAL_PHONES[0]}|(?<![\w.-]){LOCAL_PHONES[1]}",
-    "name": rf"\b(?:{TITLES_FEMALE}|{TITLES_MALE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
+    "name": rf"\b(?:{TITLES_FEMALE}|{TITLES_MALE}|{TITLES_NEUTRAL})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 SECRET_LABEL = r"^((?i:password|passwd|pwd|token|secret|api[_-]?key) {0,2}[=:] {0,2}[\"']?)"
-TITLE = rf"^((?:{TITLES_FEMALE}|{TITLES_MALE})\.? )"
+TITLE = rf"^((?:{TITLES_FEMALE}|{TITLES_MALE}|{TITLES_NEUTRAL})\.? )"
 # Syllables of invented names.
 LATIN = "ba be bo da de do fa fe ga ge ha he ja jo ka ke la le lo ma me mi na ne no pa pe ra re ro sa se ta te to va ve wa za"
 CYRILLIC = "ба бе бо ва ве га да де до жа за зе ка ко ла ле ма ме ми на не но па пе ра ре ро са се та те то фа ха ша"
-ENDINGS = {"female": ("lia", "лия"), "male": ("ron", "рон"), "surname": ("mer", "мер")}
-ATTEMPTS = 64
+ENDINGS = {"female": ("lia", "лия"), "male": ("ron", "рон"), "given": ("nor", "нор"), "surname": ("mer", "мер")}
+# From this attempt on, addresses and national ids come from all of their kind's numbers, not only from ranges nobody has.
+WIDE_FROM = 6
+# From this attempt on, a surrogate is longer than its kind allows: what is left has found no free one.
+LONG_FROM = 24
 
 
 def _byte(stream: Column, i: Column) -> Column:
@@ -75,17 +80,20 @@ def _chars(value: Column) -> Column:
 
 def _mapped(value: Column, stream: Column, keep: Column) -> Column:
     """``value`` with each letter or digit after the first ``keep`` characters replaced by another of its class."""
-    hexadecimal = value.rlike("^[0-9a-f]+$")
+    def other(hexadecimal: bool):
+        def one(c: Column, i: Column) -> Column:
+            b = _byte(stream, i)
+            small = F.when(c.rlike("[a-z]"), _nth("abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz", b))
+            return (
+                F.when(i < keep, c)
+                .when(c.rlike("[0-9]"), F.pmod(c.cast("int") + 1 + F.pmod(b, F.lit(9)), F.lit(10)).cast("string"))
+                .otherwise(F.coalesce(small, F.when(c.rlike("[A-Z]"), _nth("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b)), c)))
 
-    def other(c: Column, i: Column) -> Column:
-        b = _byte(stream, i)
-        return (
-            F.when(i < keep, c)
-            .when(c.rlike("[0-9]"), F.pmod(c.cast("int") + 1 + F.pmod(b, F.lit(9)), F.lit(10)).cast("string"))
-            .when(hexadecimal, _nth("abcdef", b)).when(c.rlike("[a-z]"), _nth("abcdefghijklmnopqrstuvwxyz", b))
-            .when(c.rlike("[A-Z]"), _nth("ABCDEFGHIJKLMNOPQRSTUVWXYZ", b)).otherwise(c))
+        return one
 
-    return F.array_join(F.transform(_chars(value), other), "")
+    # Asked once for the whole value, not for each of its characters.
+    return F.array_join(F.when(value.rlike("^[0-9a-f]+$"), F.transform(_chars(value), other(True))).otherwise(
+        F.transform(_chars(value), other(False))), "")
 
 
 def _luhn(digits: Column) -> Column:
@@ -95,16 +103,28 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(values, F.lit(0), lambda a, v: a + v), F.lit(10))
 
 
+def _modulo_97(text: Column) -> Column:
+    """The remainder by 97 of digits and capital letters, a letter being a number from 10 on."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("long")).otherwise(F.ascii(F.upper(c)).cast("long") - 55)
+    return F.aggregate(_chars(text), F.lit(0).cast("long"), lambda a, c: F.pmod(
+        a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c), F.lit(97).cast("long")))
+
+
 def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     """The normal form of the replacement of an entity in its normal form."""
     stream = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, norm, attempt.cast("string")), 512)
+    return let(stream, lambda drawn: _made(kind, norm, attempt, drawn))
+
+
+def _made(kind: Column, norm: Column, attempt: Column, stream: Column) -> Column:
     syllable = lambda words, n: F.element_at(F.split(F.lit(words), " "), F.pmod(
         _byte(stream, F.lit(n)) * 256 + _byte(stream, F.lit(n + 1)), F.lit(len(words.split()))) + 1)
 
     def name(words: str, ending: int) -> Column:
         end = reduce(lambda c, e: c.when(kind.endswith(e[0]), e[1][ending]), ENDINGS.items(), F.when(F.lit(False), ""))
-        return F.concat(syllable(words, 0), syllable(words, 2), F.when(attempt > 1, syllable(words, 4)).otherwise(""),
-                        F.when(attempt > 3, syllable(words, 6)).otherwise(""), end)
+        # Longer with every second attempt: there is no last name.
+        more = [F.when(attempt > 2 * i + 1, syllable(words, 4 + 2 * i)).otherwise("") for i in range(14)]
+        return F.concat(syllable(words, 0), syllable(words, 2), *more, end)
 
     digits = _mapped(norm, stream, F.when(
         kind == "phone", F.when(F.length(norm) > 10, F.length(F.regexp_extract(norm, f"^({COUNTRY})", 1))).otherwise(0))
@@ -115,26 +135,41 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
     # The top-level domain stays.
     domain = F.regexp_extract(norm, r"(\.[a-z]{2,})$", 1)
     mail = F.concat(_mapped(F.substring(norm, F.lit(1), F.length(norm) - F.length(domain)), stream, F.lit(0)), domain)
-    return (
+    wide = attempt >= WIDE_FROM
+    block = F.when(wide, (F.pmod(_byte(stream, F.lit(3)), F.lit(223)) + 1).cast("string")).otherwise("10")
+    # What makes the number of an account, its country and check digits at the end, leave what the original leaves.
+    account = F.substring(digits, F.lit(5), F.length(digits))
+    country = F.substring(norm, 1, 2)
+    owed = F.pmod(_modulo_97(F.concat(F.substring(norm, F.lit(5), F.length(norm)), F.substring(norm, 1, 4)))
+                  - _modulo_97(F.concat(account, country, F.lit("00"))), F.lit(97))
+    iban = F.concat(country, F.lpad(F.when(owed < 2, owed + 97).otherwise(owed).cast("string"), 2, "0"), account)
+    made = (
         F.when(kind == "email", mail)
-        .when(kind == "ip", F.concat_ws(".", F.lit("10"), *(_byte(stream, F.lit(i)).cast("string") for i in (0, 1)),
+        .when(kind == "iban", iban)
+        .when(kind == "ip", F.concat_ws(".", block, *(_byte(stream, F.lit(i)).cast("string") for i in (0, 1)),
                                         (F.pmod(_byte(stream, F.lit(2)), F.lit(254)) + 1).cast("string")))
-        .when(kind == "ssn", F.concat(F.lit("9"), F.substring(digits, 2, 8)))
+        .when(kind == "ssn", F.when(wide, digits).otherwise(F.concat(F.lit("9"), F.substring(digits, 2, 8))))
         .when(kind == "card", F.concat(body, check))
         .when(kind.startswith("name"), F.when(norm.rlike(r"\p{IsCyrillic}"), name(CYRILLIC, 1)).otherwise(name(LATIN, 0)))
         .otherwise(digits))
+    longer = F.concat(made, F.when(kind == "ip", ".").otherwise(""), F.conv(F.substring(stream, 1, 12), 16, 10))
+    return F.when(attempt < LONG_FROM, made).otherwise(longer)
 
 
 def _normal(kind: Column, value: Column) -> Column:
     """What mentions of one entity have in common."""
     return (
-        F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(value, "[^0-9]", ""))
+        # A North American number is the same with and without its country code.
+        F.when(kind == "phone", F.regexp_replace(F.regexp_replace(value, "[^0-9]", ""), "^1([0-9]{10})$", "$1"))
+        .when(kind.isin("card", "ssn"), F.regexp_replace(value, "[^0-9]", ""))
         .when(kind == "iban", F.regexp_replace(value, " ", "")).when(kind.isin("secret", "key"), value).otherwise(F.lower(value)))
 
 
 def _rendered(kind: Column, value: Column, norm: Column, new: Column) -> Column:
     """A surrogate written the way its mention was: with the same separators and letter case."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
+    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    new = F.when((kind == "phone") & (digits == 11) & (F.length(norm) == 10), F.concat(F.lit("1"), new)).otherwise(new)
     spaced = F.aggregate(_chars(value), start, lambda a, c: F.when(c.rlike("[0-9A-Za-z]"), F.struct(
         F.concat(a["out"], F.substring(new, a["at"], F.lit(1))).alias("out"), (a["at"] + 1).alias("at"))).otherwise(
         F.struct(F.concat(a["out"], c).alias("out"), a["at"].alias("at"))), lambda a: a["out"])
@@ -153,7 +188,8 @@ def _parts(match: Column) -> Column:
         (k, v) for k, v in PATTERNS.items() if k not in ("secret", "name")], F.when(F.lit(False), F.lit("")))
     label, title = F.regexp_extract(match, SECRET_LABEL, 1), F.regexp_extract(match, TITLE, 1)
     after = lambda head: F.substring(match, F.length(head) + 1, F.length(match))
-    gender = F.when(title.rlike(rf"^(?:{TITLES_FEMALE})\b"), "name-female").otherwise("name-male")
+    gender = F.when(title.rlike(rf"^(?:{TITLES_FEMALE})\b"), "name-female").when(
+        title.rlike(rf"^(?:{TITLES_MALE})\b"), "name-male").otherwise("name-given")
     names = F.split(after(title), " ")
     two = F.array(stays(title), part(gender, names[0]), stays(F.lit(" ")), part(F.lit("name-surname"), F.get(names, F.lit(1))))
     return (
@@ -168,11 +204,13 @@ def replacements(entities: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, norm, new): surrogates that are distinct within a kind and are no entity of the input.
 
     An entity whose surrogate is taken, or is itself in the input, tries the next
-    one; of several with the same surrogate the smallest keeps it.
+    one; of several with the same surrogate the smallest keeps it.  Names grow and
+    numbers come from wider ranges with the attempts; in the end a surrogate is longer
+    than its kind allows, so that every entity gets one.
     """
     have = materialize(entities.select("kind", "norm").distinct(), "entities")
     accepted, pending = None, have.withColumn("attempt", F.lit(0))
-    for _ in range(ATTEMPTS):
+    while True:
         tried = materialize(pending.withColumn("new", surrogate(F.col("kind"), F.col("norm"), F.col("attempt"), key)), "tried")
         taken = have.select("kind", F.col("norm").alias("new"))
         if accepted is not None:
@@ -184,7 +222,6 @@ def replacements(entities: DataFrame, key: str = KEY) -> DataFrame:
             "kind", "norm", (F.col("attempt") + 1).alias("attempt")), "pending")
         if not pending.take(1):
             return accepted
-    raise ValueError("an entity kind has more entities than surrogates")
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
@@ -193,7 +230,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     The same entity gets the same surrogate in all documents, however it is
     written; different entities get different ones, and none is an entity of the
     input.  Surrogates keep the kind: separators, letter case, character classes,
-    card prefixes and checksums, country codes, top-level domains, and the gender
+    card prefixes, checksums of cards and accounts, country codes, top-level domains, and the gender
     and script of names; they depend on ``key``.  Names are found directly after a
     listed title only: the same name without a title stays as it is.
 
