@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
@@ -21,13 +22,18 @@ CELLS_EACH = 4
 BLOCK_BITS = 16
 KEYS_AT_ONCE = 1 << 21
 ROWS_AT_ONCE = 2048
+LONG_WORD = 64
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 9, 10, 11, 12, 13]] = True
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
 def word_hashes(texts: list[bytes], base: int = ODD[0]) -> list[np.ndarray]:
-    """A 64-bit hash of every word of each text."""
+    """A 64-bit hash of every word of each text.
+
+    Words over ``LONG_WORD`` bytes are hashed by a digest: for a polynomial modulo
+    2^64 long words of two letters can be built that agree under every base.
+    """
     out: list[np.ndarray] = []
     portion: list[bytes] = []
     size = 0
@@ -40,6 +46,9 @@ def word_hashes(texts: list[bytes], base: int = ODD[0]) -> list[np.ndarray]:
             start = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
             end = np.flatnonzero(gap & np.concatenate([[False], ~gap[:-1]]))
             found = run_hashes(prefix(joined.astype(np.uint64), base), start, end, base)
+            for at in np.flatnonzero(end - start > LONG_WORD):
+                digest = hashlib.blake2b(joined[start[at] : end[at]].tobytes(), digest_size=8, key=base.to_bytes(8, "little"))
+                found[at] = np.frombuffer(digest.digest(), np.uint64)[0]
             bounds = np.cumsum([0, *(len(t) + 1 for t in portion)])
             out += np.split(found, np.searchsorted(start, bounds[1:-1])) if len(portion) > 1 else [found]
             portion, size = [], 0
