@@ -17,6 +17,8 @@ HASHES = 2
 PROBES = 3
 # Vectors of one bucket that meet in one task; larger buckets are cut into blocks.
 BLOCK_ROWS = 2048
+# A cell (i, j) of blocks has the number i * CELLS + j; no bucket has as many blocks.
+CELLS = 1 << 31
 PAIRS_AT_ONCE = 1 << 17
 
 
@@ -122,7 +124,7 @@ def links(batch: pa.Table, least: float) -> dict[str, np.ndarray]:
         a = start[ends - start > apart]
         b = a + apart
         # A cell of two different blocks holds the pairs across them; a cell of one block all its pairs.
-        across = (cell[a] // 65536 == cell[a] % 65536) | (block[a] != block[b])
+        across = (cell[a] // CELLS == cell[a] % CELLS) | (block[a] != block[b])
         a, b = a[across], b[across]
         for i in range(0, len(a), PAIRS_AT_ONCE):
             x, y = a[i : i + PAIRS_AT_ONCE], b[i : i + PAIRS_AT_ONCE]
@@ -203,7 +205,7 @@ def near_vectors(vectors: DataFrame, *, least: float = 0.93, tables: int = TABLE
     # Block i meets block j >= i in cell (i, j); an unsplit bucket has the cell (0, 0).
     meets = placed.withColumn("cell", F.explode(F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-        lambda j: F.least(j, F.col("block")) * 65536 + F.greatest(j, F.col("block")))))
+        lambda j: F.least(j, F.col("block")) * CELLS + F.greatest(j, F.col("block")))))
     spark = classes.sparkSession
     carried = meets.select("rep", "v", "dim", "n", "own", "bucket", "block", "cell")
     together = carried.repartition(F.col("bucket"), F.col("cell")).sortWithinPartitions("dim", "bucket", "cell")
