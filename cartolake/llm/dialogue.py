@@ -1,7 +1,7 @@
 """Repair of conversations: a generalised LR parse of their roles with weighted edits.
 
 Rows are read in order, once for the cheapest edits and once to apply them.  Of a
-conversation a task holds four bytes a row and its edits, one letter each; texts pass
+conversation a task holds eight bytes a row and its edits, one letter each; texts pass
 through.  The rows of one conversation stay in one task, for both the parse and the
 digest of the repaired text go from its first row to its last.
 """
