@@ -17,22 +17,27 @@ NEAR_PERCENT = 80
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a classifier fitted on the labelled ones does not call toxic."""
+    """Documents that a classifier fitted on the labelled ones does not call toxic.
+
+    A null text is judged like an empty one; repeated rows go or stay together; no
+    rows give no rows.  All columns pass through, whatever their names.
+    """
     model = toxicity.fit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    return docs.filter(toxicity.score_of(F.col("text"), model) < toxicity.THRESHOLD)
 
 
 def one_of_each(docs: DataFrame, keys: list[str]) -> DataFrame:
     """``docs`` with one row of those that agree in ``keys`` (null equals null); only repeated ones are shuffled."""
     own = [F.col(k).alias(f"__{i}") for i, k in enumerate(keys)]
-    again = materialize(docs.select(*own).groupBy(*(f"__{i}" for i in range(len(keys)))).count().filter("count > 1"), "again")
+    again = materialize(docs.select(*own).groupBy(*(f"__{i}" for i in range(len(keys)))).agg(
+        F.count("*").alias("__n")).filter("__n > 1"), "again")
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"__{i}"))
     marked = docs.join(small_side(again, F.lit(64)), same, "left")
     first = Window.partitionBy(*keys).orderBy(*(c for c in docs.columns if c not in keys))
-    several = marked.filter("count is not null").withColumn("__r", F.row_number().over(first)).filter("__r = 1")
-    return marked.filter("count is null").select(*docs.columns).unionByName(several.select(*docs.columns))
+    several = marked.filter("__n is not null").withColumn("__r", F.row_number().over(first)).filter("__r = 1")
+    return marked.filter("__n is null").select(*docs.columns).unionByName(several.select(*docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +56,22 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data; n_chars follows the text."""
-    return surrogates.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Documents with surrogates for personal data; n_chars follows the text.
+
+    Null and empty texts stay (a null text has no n_chars), repeated rows stay repeated, no
+    rows give no rows.  Other columns pass through, whatever their names.
+    """
+    named = docs.withColumnRenamed("n_entities", "__n_entities") if "n_entities" in docs.columns else docs
+    done = surrogates.pseudonymise(named).drop("n_entities").withColumnRenamed("__n_entities", "n_entities")
+    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at their target weights: a document is left out, taken, or taken twice; one at a quota's end is cut after a word."""
+    """Sources at their target weights: a document is left out, taken, or taken twice; one at a quota's end is cut after a word.
+
+    Null and empty texts have no words and are left out; a null source is one of its own;
+    equal rows share what is taken of them; no rows give no rows.
+    """
     pieces = mixing.mix(docs)[1]
     taken = materialize(pieces.groupBy("doc_id", "source", "size", "key").agg(
         F.collect_list("words").alias("__words")), "taken")
@@ -76,7 +91,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in training sequences."""
+    """Pieces of documents in training sequences: every row's ids, those of a null text being the end id alone."""
     return packing.pack(docs, tokenizer())
 
 
