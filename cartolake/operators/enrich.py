@@ -308,12 +308,17 @@ def describe_tables(
     union = lambda parts: materialize(_stack(parts), "described")
     spent = _stack(calls).groupBy(*PART_KEY).agg(F.sum("elapsed_ms").alias("elapsed_ms"))
     events, descriptions, column_rows = union(outcomes).join(spent, PART_KEY), union(accepted), union(accepted_columns)
-    # A table is described when all of its parts are; part 0 speaks for the table.
+    table_rows, described = whole_tables(columns, events, descriptions, column_rows)
+    return table_rows, described, events
+
+
+def whole_tables(columns: DataFrame, events: DataFrame, descriptions: DataFrame, column_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Descriptions of the tables all of whose parts are described; part 0 speaks for the table, others get an empty slot."""
     whole = events.groupBy(*TABLE_KEY).agg(F.bool_and(F.col("event").isin("ok", "parse_retry")).alias("whole"))
     done = whole.filter("whole").select(*TABLE_KEY)
     spoken = descriptions.filter("part = 0").drop("part").join(done, TABLE_KEY, "left_semi")
     table_rows = columns.select(*TABLE_KEY).distinct().join(spoken, TABLE_KEY, "left")
-    return table_rows, column_rows.join(done, TABLE_KEY, "left_semi"), events
+    return table_rows, column_rows.join(done, TABLE_KEY, "left_semi")
 
 
 def _stack(parts: list[DataFrame]) -> DataFrame:
