@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartolake.operators.skew import lookup_join
 from cartolake.schema import PROTECTED_RISKS, TABLE_KEY
+from cartolake.session import materialize
 
 DEFAULT_ROWS = 5
 MAX_ROWS = 20
@@ -140,3 +144,80 @@ def adjudicate(requests: DataFrame, tables: DataFrame, default: int = DEFAULT_RO
     return joined.select(
         "request_id", F.lit("sample").alias("tool"), *TABLE_KEY,
         *decide(F.col("limit"), is_known, F.col("row_count"), default, cap))
+
+
+SAMPLES = "schema string, `table` string, rank int, row string, error string"
+
+
+def table_samples(
+    spark: SparkSession,
+    tables: Mapping[tuple[str, str], Callable[[], DataFrame]],
+    column_descriptions: DataFrame | None,
+    *,
+    cap: int = MAX_ROWS,
+    key_columns: Mapping[tuple[str, str], Sequence[str]] | None = None,
+    allow_pii: bool = False,
+    on_missing: str = "pass",
+    workers: int = 5,
+) -> DataFrame:
+    """The ``cap`` rows of each table with the smallest hashes: (schema, table, rank, row, error).
+
+    One pass per table serves any number of requests: every task keeps its ``cap`` best
+    rows, so nothing but these is moved.  Rows are redacted before they are hashed or
+    read, then coerced, one JSON object each.  The hash is the MD5 of ``key_columns``, which
+    must identify rows, or else of the redacted row, so a sample does not depend on how a
+    table is stored.  An
+    empty table gives one row without rank.  A table that cannot be read gives one row
+    with its error; the others are not affected.
+    """
+    def one(item: tuple[tuple[str, str], Callable[[], DataFrame]]) -> DataFrame | str:
+        (schema, table), load = item
+        try:
+            shown = coerce(redact(load(), column_descriptions, schema, table, allow_pii=allow_pii, on_missing=on_missing))
+            row = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+            names = (key_columns or {}).get((schema, table))
+            own = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names]) if names else row
+            # Only the rows that stay are written as JSON.
+            first = shown.withColumn("__by", F.md5(own)).orderBy("__by").limit(cap)
+            return materialize(first.select(F.col("__by").alias("by"), F.to_json(
+                F.struct(*[F.col(f"`{c}`") for c in shown.columns]), {"ignoreNullFields": "false"}).alias("row")), "sample")
+        except (PySparkException, Py4JJavaError) as exc:
+            return f"{type(exc).__name__}: {str(exc).splitlines()[0]}"
+
+    found = list(tables.items())
+    with ThreadPoolExecutor(workers) as pool:
+        results = list(pool.map(one, found))
+    errors = [(*key, None, None, r) for (key, _), r in zip(found, results) if isinstance(r, str)]
+    out = spark.createDataFrame(errors, SAMPLES)
+    for (key, _), stored in zip(found, results):
+        if isinstance(stored, str):
+            continue
+        schema, table = (F.lit(k) for k in key)
+        # At most ``cap`` rows of one table.
+        listed = stored.agg(F.sort_array(F.collect_list(F.struct("by", "row"))).alias("rows"))
+        out = out.unionByName(listed.select(
+            schema.alias("schema"), table.alias("table"), F.posexplode_outer("rows").alias("at", "r")).select(
+            *TABLE_KEY, (F.col("at") + 1).cast("int").alias("rank"), F.col("r.row").alias("row"), F.lit(None).cast("string").alias("error")))
+    return materialize(out, "samples")
+
+
+def sample_requests(requests: DataFrame, tables: DataFrame, samples: DataFrame, default: int = DEFAULT_ROWS,
+                    cap: int = MAX_ROWS) -> DataFrame:
+    """Requests decided and answered: the columns of ``adjudicate`` with counted ``rows_returned``, and ``rows``.
+
+    ``samples`` is the output of ``table_samples``.  A request for a table that could not be
+    read has the outcome ``db_error``.  Requests for one popular table are spread over tasks.
+    ``rows`` (JSON texts) is NULL unless the outcome is ok; drop it for the audit.
+    """
+    per_table = samples.groupBy(*TABLE_KEY).agg(
+        F.transform(F.sort_array(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "row")))), lambda r: r["row"])
+        .alias("__rows"), F.max("error").alias("__error"))
+    decided = adjudicate(requests, tables, default, cap).drop("rows_returned")
+    joined = lookup_join(decided, per_table, TABLE_KEY, "left", spread=["request_id"])
+    unread = (F.col("outcome") == "ok") & (F.col("__error").isNotNull() | F.col("__rows").isNull())
+    answered = joined.withColumn("outcome", F.when(unread, "db_error").otherwise(F.col("outcome"))).withColumn(
+        "rows", F.when(F.col("outcome") == "ok", F.slice("__rows", F.lit(1), F.col("limit_effective"))))
+    return answered.select(
+        "request_id", "tool", *TABLE_KEY, "outcome", "limit_requested",
+        F.when(F.col("outcome") == "ok", F.col("limit_effective")).alias("limit_effective"),
+        F.when(F.col("outcome") == "ok", F.size("rows").cast("bigint")).alias("rows_returned"), "rows")
