@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartolake.schema import TABLE_KEY
+from cartolake.session import materialize
 
 DEFAULT_LIMIT = 20
 # Best place of a hit, in rank order (fixed names).
 MATCH_TYPES = ("table_name", "column_name", "description_body")
 # Needles evaluated by one pass over the texts; longer lists take several passes.
 NEEDLES_PER_PASS = 100
+# Characters of a piece in the search index.
+GRAM = 3
 
 
 def search_texts(
@@ -69,6 +73,62 @@ def search(texts: DataFrame, queries: Sequence[tuple[int, str]], limit: int = DE
     )
 
 
+def _grams(text, n: int):
+    """All pieces of ``n`` characters, each once; none for a shorter text."""
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))))
+
+
+@dataclass(frozen=True)
+class SearchIndex:
+    """Distinct texts (text_id, text) and the postings (gram, text_id) of their pieces of one to ``GRAM`` characters."""
+
+    texts: DataFrame
+    postings: DataFrame
+
+
+def search_index(texts: DataFrame) -> SearchIndex:
+    """The inverted index of ``search_texts``.
+
+    Built on distinct texts, so a name that a million tables share has one set of postings.
+    Ids are 64-bit hashes: texts that share one are both looked at, and told apart by the needle.
+    """
+    distinct = materialize(texts.select("text").distinct().select(F.xxhash64("text").alias("text_id"), "text"), "search-texts")
+    grams = F.flatten(F.array(*[F.coalesce(_grams(F.col("text"), n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)]))
+    return SearchIndex(distinct, materialize(distinct.select(F.explode(grams).alias("gram"), "text_id"), "search-index"))
+
+
+def search_many(texts: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT, index: SearchIndex | None = None) -> DataFrame:
+    """Ranked hits as ``search`` gives them, for any number of ``queries`` (query_id, query).
+
+    Needles are rows, not parts of the plan: each meets the index by its rarest gram, the
+    shortest of the postings that all its texts are in, and the texts found there are tested
+    for the needle itself.  A needle shorter than a gram is a gram.  Equal needles are
+    looked up once.  Empty and null needles find nothing.
+    """
+    if limit < 0:
+        raise ValueError(f"limit must not be negative, got {limit}")
+    index = search_index(texts) if index is None else index
+    asked = queries.select("query_id", F.lower("query").alias("needle")).filter("needle <> ''")
+    needles = materialize(asked.select("needle").distinct(), "needles")
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    cut = needles.select("needle", F.explode(F.coalesce(*[
+        F.when(size == n, _grams(F.col("needle"), n)) for n in range(1, GRAM + 1)])).alias("gram"))
+    # A gram the index lacks has 0 postings: it is the rarest and rules its needle out.
+    frequency = index.postings.join(cut.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    counted = cut.join(frequency, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    first = counted.groupBy("needle").agg(F.min(F.struct("n", "gram")).alias("rarest")).select("needle", "rarest.gram")
+    places = index.postings.join(first, "gram").select("needle", "text_id")
+    found = places.join(index.texts, "text_id").filter(F.col("text").contains(F.col("needle"))).select("needle", "text")
+    best = texts.join(found, "text").groupBy("needle", *TABLE_KEY).agg(F.min("tier").alias("tier"))
+    order = Window.partitionBy("needle").orderBy("tier", *TABLE_KEY)
+    # Ranked per needle; the queries that share one get its few rows.
+    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    return asked.join(ranked, "needle").select(
+        "query_id", "rank", *TABLE_KEY,
+        F.element_at(F.array(*map(F.lit, MATCH_TYPES)), F.col("tier") + 1).alias("match_type"))
+
+
 def search_metrics(ranked: DataFrame, queries: DataFrame, expected: DataFrame) -> DataFrame:
     """Per query: precision over what was returned, recall over what was expected, reciprocal rank.
 
