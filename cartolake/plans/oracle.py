@@ -455,14 +455,19 @@ SELECT 'main' AS source_schema, 'orders' AS source_table, 'o_custkey' AS source_
   target_table, 'c_custkey' AS target_column, n_values, n_found, round(share, 6) AS containment FROM good
 WHERE share = (SELECT max(share) FROM good) AND (SELECT count(*) FROM good WHERE share = (SELECT max(share) FROM good)) = 1""",
     "p9_discover": _catalog(f"SELECT {KEY}, row_count FROM counted"),
-    "j6_describe": _catalog("""SELECT l.sch AS "schema", l.tbl AS "table", l.ord AS ordinal, l.col AS "column",
-        l.typ AS data_type, l.is_pk AS is_primary_key, d.descr AS description, d.sem AS semantic_type, d.risk AS pii_risk,
-        round(d.conf, 6) AS confidence, c.row_count, CASE WHEN s.filled THEN s.descr END AS table_description,
-        CASE WHEN s.filled THEN s.grain END AS grain,
-        CASE WHEN s.filled THEN array_to_string(s.hints, '|') END AS domain_hints,
-        CASE WHEN s.filled THEN round(s.conf, 6) END AS table_confidence
-        FROM lay l JOIN counted c ON c.sch = l.sch AND c.tbl = l.tbl JOIN slot s ON s.sch = l.sch AND s.tbl = l.tbl
-        LEFT JOIN cdesc d ON d.sch = l.sch AND d.tbl = l.tbl AND d.col = l.col"""),
+    # Every value follows from the tenant and the layout: one projection, no join.
+    "j6_describe": _catalog("""SELECT sch AS "schema", tbl AS "table", ord AS ordinal, col AS "column",
+        typ AS data_type, is_pk AS is_primary_key, CASE WHEN filled THEN 'The ' || col END AS description,
+        CASE WHEN filled THEN sem END AS semantic_type, CASE WHEN filled THEN risk END AS pii_risk,
+        CASE WHEN filled THEN round(CAST(0.4 AS DOUBLE) + CAST(ord % 6 AS DOUBLE) / 10, 6) END AS confidence,
+        CAST(CASE WHEN k % 5 = 2 THEN 0 WHEN k % 5 IN (3, 4) THEN k * 10 + p END AS BIGINT) AS row_count,
+        CASE WHEN filled THEN 'Rows about ' || tbl END AS table_description,
+        CASE WHEN filled THEN 'one row per ' || tbl END AS grain,
+        CASE WHEN filled THEN CASE WHEN k % 2 = 1 THEN 'sales|' || tbl ELSE tbl || '|sales' END END AS domain_hints,
+        CASE WHEN filled THEN round(CAST(0.5 AS DOUBLE) + CAST(k % 50 AS DOUBLE) / 100, 6) END AS table_confidence
+        FROM (SELECT t.k, t.s AS sch, b.*, (t.k + b.p) % 7 <> 0 AS filled FROM t, (
+          SELECT *, """ + _semantic("col", "typ", "is_pk") + """ AS sem, """ + _risk("tbl", "col") + """ AS risk FROM base) b
+          WHERE tbl <> 'attrs' OR k % 3 = 0)"""),
     "j7_incident": _catalog(f"""SELECT t.sch AS "schema", t.tbl AS "table", {EDGE}, kind FROM tabs t JOIN rel r
         ON (r.source_schema = t.sch AND r.source_table = t.tbl)
         UNION ALL SELECT t.sch, t.tbl, {EDGE}, kind FROM tabs t JOIN rel r
@@ -619,11 +624,11 @@ SELECT id, strftime(w, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(w) % 100000
     "s17_ground_truth": _catalog("""SELECT k * 100 + p AS item_id,
         CASE WHEN k % 9 = 0 THEN '' WHEN k % 9 <> 1 THEN tbl END AS query,
         CASE WHEN k % 9 < 2 THEN 'missing query' WHEN k % 7 < 2 THEN 'expected must be strings' END AS error FROM tabs"""),
-    "e2_column_drift": _catalog("""SELECT CASE WHEN o.col IS NULL THEN 'column_added' WHEN n.col IS NULL THEN 'column_removed'
-        ELSE 'column_retyped' END AS change_type, coalesce(n.sch, o.sch) AS "schema", coalesce(n.tbl, o.tbl) AS "table",
-        coalesce(n.col, o.col) AS "column", o.typ AS old_type, n.typ AS new_type
-        FROM lay n FULL JOIN prev o ON o.sch = n.sch AND o.tbl = n.tbl AND o.col = n.col
-        WHERE n.typ IS DISTINCT FROM o.typ""", _PREV),
+    "e2_column_drift": _catalog("""SELECT CASE WHEN k % 6 = 0 AND col = 'url' THEN 'column_added' ELSE 'column_retyped' END
+        AS change_type, sch AS "schema", tbl AS "table", col AS "column",
+        CASE WHEN NOT (k % 6 = 0 AND col = 'url') THEN 'smallint' END AS old_type, typ AS new_type
+        FROM lay WHERE (k % 6 = 0 AND col = 'url') OR (k % 10 = 3 AND typ = 'int')
+        UNION ALL SELECT 'column_removed', s, 'orders', 'clerk', 'string', NULL FROM t WHERE k % 8 = 0"""),
     "e2_table_drift": _catalog("""SELECT CASE WHEN o.sch IS NULL THEN 'table_added' ELSE 'row_count_changed' END AS change_type,
         n.sch AS "schema", n.tbl AS "table", o.c AS old_count, n.row_count AS new_count,
         CASE WHEN o.sch IS NOT NULL THEN n.row_count - o.c END AS row_count_delta

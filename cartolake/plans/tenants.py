@@ -87,7 +87,7 @@ class Tenants:
     """Lazy DataFrames of the derived catalog."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark = spark
+        self.spark, self.sf_dir = spark, sf_dir
         self.keys = tenant_keys(spark, sf_dir)
 
     def _layout(self) -> DataFrame:
