@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 TIERS = (256, 512, 1024, 2048, 4096)
 END_ID = 2
 # Documents of about so many bytes are packed by one task, independently of all others.
+# Equal rows of a stretch of 2^STRETCH_BITS rows of an input partition stay together.
+STRETCH_BITS = 9
 GROUP_BYTES = 8 << 20
 STEP_TOKENS = 1 << 17
 # Distinct words a worker remembers the ids of, about.
@@ -219,9 +221,9 @@ def pack(docs: DataFrame, tokenizer_path: str, *, tiers: tuple[int, ...] = TIERS
     A document's ids are the tokenizer's and ``end_id``.  Whole windows of the
     largest tier are cut off where the text is read and travel as a length and a
     checksum; only the remainder, shorter than a window, carries ids.  Documents
-    are dealt to groups by a hash of id, text and place in the input, so equal rows
-    go to many groups; the same input files are dealt alike. A group is packed by itself and
-    has at most one sequence that is not full.  ``tier`` is the context size of a
+    are dealt to groups by a hash of id, text and stretch of the input, so equal rows
+    meet only if they lie near each other, which is where their copies compress; the same
+    input files are dealt alike.  A group is packed by itself and has at most one sequence that is not full.  ``tier`` is the context size of a
     sequence and ``step_id`` its training step, unique over all groups.
 
     A null text counts as empty: its one id is ``end_id``.  A null id stays null;
@@ -233,7 +235,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, tiers: tuple[int, ...] = TIERS
     groups = max(1, -(-size // group_bytes))
     dealt = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-        F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(groups)).alias("group"))
+        F.pmod(F.xxhash64("doc_id", "text", F.shiftright(F.monotonically_increasing_id(), STRETCH_BITS)), F.lit(groups)).alias("group"))
 
     def tokenized(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(tokenizer_path)

@@ -72,7 +72,7 @@ def test_surrogates_of_a_full_space(spark, monkeypatch):
 
 
 def test_equal_rows_go_to_many_groups(spark):
-    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same words here " * 20).alias("text"))
+    docs = spark.range(0, 3000, 1, 30).select(F.lit(7).cast("long").alias("doc_id"), F.lit("same words here " * 20).alias("text"))
     got = packing.pack(docs, tokenizer(), group_bytes=20_000)
     assert got.select(F.shiftright("sequence_id", 32).alias("g")).distinct().count() > 20
     assert got.filter("start = 0").count() == 3000
