@@ -65,18 +65,20 @@ def test_a_resumed_run_repeats_no_accepted_call(spark, catalog, tmp_path):
 
 def test_answers_of_finished_tasks_outlive_a_failed_job(spark, tmp_path):
     log = resume.ResponseLog(spark, str(tmp_path / "log"))
-    good = spark.createDataFrame([("s", "t", 0, 1, "h", "m", "raw", "ok", None, 1)], resume.LOG).coalesce(1)
+    good = spark.createDataFrame([("s", "t", 0, 1, "h", "m", "raw", "ok", None, 1)], resume.LOG).toPandas()
 
-    def lost(batches):
+    def answered(batches):
         import time
 
-        time.sleep(6)
-        raise RuntimeError("lost")
-        yield from batches
+        for batch in batches:
+            if 1 in set(batch["id"]):
+                time.sleep(6)
+                raise RuntimeError("lost")
+            yield good
 
     # Two tasks side by side: one ends, the other fails later.
     with pytest.raises(Exception, match="lost"):
-        log.append(good.unionByName(spark.range(1).coalesce(1).mapInArrow(lost, good.schema)))
+        log.append(spark.range(0, 2, 1, 2).mapInPandas(answered, resume.LOG))
     assert log.accepted().count() == 1
 
 
