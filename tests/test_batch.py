@@ -269,3 +269,14 @@ def test_wrong_shapes_raise(spark, tmp_path, damage, error):
         manifest.write_text("{")
     with pytest.raises(error):
         versions.read_version(spark, str(path))
+
+
+def test_mail_evidence_in_long_runs(spark):
+    from cartolake.operators import profile
+
+    texts = ["a" * 300_000 + " @", "x" * 300_000 + "@host.org", "me@host.org", "@host.org", "me@host", "me@ host.org", None]
+    table = {"t": spark.createDataFrame([(t,) for t in texts], "note string")}
+    found = {r.kind: r.matched for r in profile.pii_evidence(table).collect()}
+    pattern = profile.EVIDENCE["email"]
+    assert [r[0] for r in table["t"].select(F.col("note").rlike(pattern)).collect()] == [False, True, True, False, False, False, None]
+    assert found["email"] == 2
