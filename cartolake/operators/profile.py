@@ -190,32 +190,51 @@ def _matches(value: Column, kind: str) -> Column:
     return found
 
 
+def _cells(df: DataFrame, table: str, items: list[Column]) -> DataFrame:
+    return df.select(F.lit(table).alias("table"), F.inline(F.array(*items)))
+
+
 def pii_evidence(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Per text column and pattern: filled rows and rows that match.  One pass over whole texts."""
-    parts = []
+    """Per text column and pattern: filled rows and rows that match.
+
+    One pass over whole texts and one exchange for all tables: a cell becomes a flag per
+    pattern where it is read, and flags are counted map-side.
+    """
+    parts, names = [], []
     for table, df in tables.items():
         texts = _text_columns(df)
-        if not texts:
-            continue
-        found = [
-            F.struct(F.lit(name).alias("column"), F.lit(kind).alias("kind"),
-                     F.count(F.col(f"`{name}`")).alias("filled"),
-                     F.count_if(_matches(F.col(f"`{name}`"), kind)).alias("matched"))
-            for _, name in texts for kind in EVIDENCE]
-        parts.append(df.agg(F.array(*found).alias("f")).select(F.lit(table).alias("table"), F.inline("f")))
-    return _union(parts)
+        names += [(table, name) for _, name in texts]
+        if texts:
+            parts.append(_cells(df, table, [
+                F.struct(F.lit(name).alias("column"), F.col(f"`{name}`").isNotNull().alias("filled"),
+                         *[_matches(F.col(f"`{name}`"), kind).alias(kind) for kind in EVIDENCE])
+                for _, name in texts]))
+    spark = next(iter(tables.values())).sparkSession
+    none = F.lit(0).cast("bigint")
+    if not parts:
+        return spark.createDataFrame([], "`table` string, `column` string, kind string, filled bigint, matched bigint")
+    counted = _union(parts).groupBy("table", "column").agg(
+        F.count_if("filled").alias("filled"), *[F.count_if(kind).alias(kind) for kind in EVIDENCE])
+    # Columns of empty tables have no cells.  One name per column of schemas the driver holds.
+    known = spark.createDataFrame(names, "`table` string, `column` string").join(counted, ["table", "column"], "left")
+    return known.select("table", "column", F.coalesce("filled", none).alias("filled"), F.inline(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.coalesce(kind, none).alias("matched")) for kind in EVIDENCE]))).select(
+        "table", "column", "kind", "filled", "matched")
 
 
 def null_compaction(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Per column: whether any row has a value.  Empty tables keep all their columns."""
-    parts = []
-    for table, df in tables.items():
-        flags = [
-            F.struct(F.lit(o).alias("ordinal"), F.lit(f.name).alias("column"),
-                     ((F.count(F.col(f"`{f.name}`")) > 0) | (F.count("*") == 0)).alias("keep"))
-            for o, f in enumerate(df.schema.fields, start=1)]
-        parts.append(df.agg(F.array(*flags).alias("f")).select(F.lit(table).alias("table"), F.inline("f")))
-    return _union(parts)
+    """Per column: whether any row has a value.  Empty tables keep all their columns.
+
+    Flags of cells, counted map-side; one exchange for all tables.
+    """
+    names = [(table, o, f.name) for table, df in tables.items() for o, f in enumerate(df.schema.fields, start=1)]
+    filled = _union([
+        _cells(df, table, [F.struct(F.lit(o).alias("ordinal"), F.col(f"`{f.name}`").isNotNull().alias("filled"))
+                           for o, f in enumerate(df.schema.fields, start=1)])
+        for table, df in tables.items()]).groupBy("table", "ordinal").agg(F.bool_or("filled").alias("keep"))
+    known = next(iter(tables.values())).sparkSession.createDataFrame(names, "`table` string, ordinal int, `column` string")
+    return known.join(filled, ["table", "ordinal"], "left").select(
+        "table", "ordinal", "column", F.coalesce("keep", F.lit(True)).alias("keep"))
 
 
 def compact(df: DataFrame, kept: DataFrame, table: str) -> DataFrame:

@@ -9,7 +9,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from cartolake.operators import containment, keys, resume, sampling, search
+from cartolake.operators import containment, keys, profile, resume, sampling, search
 from cartolake.sources import bundle, versions
 from conftest import plan_of
 
@@ -280,3 +280,17 @@ def test_mail_evidence_in_long_runs(spark):
     pattern = profile.EVIDENCE["email"]
     assert [r[0] for r in table["t"].select(F.col("note").rlike(pattern)).collect()] == [False, True, True, False, False, False, None]
     assert found["email"] == 2
+
+
+# -- one pass over a batch of tables ------------------------------------------
+def test_exchanges_of_a_profile_do_not_grow_with_the_tables(spark):
+    one = {"t0": spark.createDataFrame([(1, "a@b.org", None), (2, None, None)], "id int, mail string, empty string")}
+    many = {f"t{i}": one["t0"] for i in range(12)} | {"none": one["t0"].limit(0).filter("false")}
+    exchanges = lambda df: plan_of(df).split("(1)")[0].count("Exchange")
+    for build in (profile.pii_evidence, profile.null_compaction, profile.key_profile, profile.row_counts):
+        assert exchanges(build(many)) <= exchanges(build(one)) + 1, build.__name__  # one for the limit of the empty table
+    found = {(r.table, r.column): (r.filled, r.matched) for r in profile.pii_evidence(many).filter("kind = 'email'").collect()}
+    assert found["t7", "mail"] == (1, 1) and found["t7", "empty"] == (0, 0) == found["none", "mail"] and len(found) == 26
+    kept = {(r.table, r.column): r.keep for r in profile.null_compaction(many).collect()}
+    assert not kept["t3", "empty"] and kept["t3", "mail"] and kept["none", "empty"] and len(kept) == 39
+    assert profile.pii_evidence({"numbers": spark.range(3)}).count() == 0
