@@ -44,3 +44,9 @@ def once(**values: Column) -> Column:
     it is not pushed through a generator.  For expensive parsing only.
     """
     return F.inline(F.array(F.struct(*[value.alias(name) for name, value in values.items()])))
+
+
+def grams(text: Column, n: int) -> Column:
+    """All pieces of ``n`` characters, each once; none for a shorter text."""
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))))

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartolake.functions.text import grams
 from cartolake.schema import TABLE_KEY
 from cartolake.session import materialize
 
@@ -73,12 +74,6 @@ def search(texts: DataFrame, queries: Sequence[tuple[int, str]], limit: int = DE
     )
 
 
-def _grams(text, n: int):
-    """All pieces of ``n`` characters, each once; none for a shorter text."""
-    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-    return F.when(F.length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))))
-
-
 @dataclass(frozen=True)
 class SearchIndex:
     """Distinct texts (text_id, text) and the postings (gram, text_id) of their pieces of one to ``GRAM`` characters."""
@@ -94,8 +89,8 @@ def search_index(texts: DataFrame) -> SearchIndex:
     Ids are 64-bit hashes: texts that share one are both looked at, and told apart by the needle.
     """
     distinct = materialize(texts.select("text").distinct().select(F.xxhash64("text").alias("text_id"), "text"), "search-texts")
-    grams = F.flatten(F.array(*[F.coalesce(_grams(F.col("text"), n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)]))
-    return SearchIndex(distinct, materialize(distinct.select(F.explode(grams).alias("gram"), "text_id"), "search-index"))
+    pieces = F.flatten(F.array(*[F.coalesce(grams(F.col("text"), n), F.array().cast("array<string>")) for n in range(1, GRAM + 1)]))
+    return SearchIndex(distinct, materialize(distinct.select(F.explode(pieces).alias("gram"), "text_id"), "search-index"))
 
 
 def search_many(texts: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT, index: SearchIndex | None = None) -> DataFrame:
@@ -113,7 +108,7 @@ def search_many(texts: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT
     needles = materialize(asked.select("needle").distinct(), "needles")
     size = F.least(F.length("needle"), F.lit(GRAM))
     cut = needles.select("needle", F.explode(F.coalesce(*[
-        F.when(size == n, _grams(F.col("needle"), n)) for n in range(1, GRAM + 1)])).alias("gram"))
+        F.when(size == n, grams(F.col("needle"), n)) for n in range(1, GRAM + 1)])).alias("gram"))
     # A gram the index lacks has 0 postings: it is the rarest and rules its needle out.
     frequency = index.postings.join(cut.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     counted = cut.join(frequency, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from cartolake.functions.classify import pii_risk
 from cartolake.functions.text import strip_prefix
-from cartolake.operators import containment, drift, keys, overlap, resume, sampling, search
+from cartolake.operators import containment, drift, keys, overlap, resume, sampling, search, secrets
 from cartolake.operators import relationships as rel
 from cartolake.plans import answers
-from cartolake.plans.queries import REAL_TABLES, _previous_columns, _real_columns, query, real, tenant_query
+from cartolake.plans.queries import REAL_TABLES, _connections, _previous_columns, _real_columns, query, real, tenant_query
 from cartolake.plans.tenants import LAYOUT
 from cartolake.schema import EDGE, TABLE_KEY
 from cartolake.session import checkpoint_dir
@@ -192,5 +192,15 @@ def s10_versions(t):
     return seen(first, reader).unionByName(seen(second, latest))
 
 
+@query
+def p7_scrub_known(spark, sf_dir):
+    """Log lines and documents without the connection strings and passwords of every second order."""
+    lines = _connections(spark, sf_dir)
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select((-F.col("doc_id") - 1).alias("id"), F.col("text").alias("message"))
+    clean = secrets.scrub_known(
+        lines.select("id", "message").unionByName(documents), "message", secrets.known_secrets(lines.filter("id % 2 = 0")))
+    return clean.select("id", F.md5("message").alias("text_md5"))
+
+
 QUERIES = (u4_describe_tables, e3_merge, j9_sample_requests, r1_search_many, a2_composite_keys, e1_containment_all, e1_ties_all,
-           s10_versions)
+           s10_versions, p7_scrub_known)

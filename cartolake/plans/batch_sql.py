@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 from cartolake.plans.batch import NEEDLE_NAMES, ROW_KEYS
-from cartolake.plans.oracle import REAL, _catalog, lit
+from cartolake.plans.oracle import REAL, _catalog, _connections, lit
 
 _STALE = """(k % 6 = 0 AND tbl = 'pages') OR (k % 8 = 0 AND tbl = 'orders') OR k % 13 = 0
   OR (k % 10 = 3 AND tbl IN (SELECT tbl FROM base WHERE typ = 'int'))"""
@@ -107,4 +107,29 @@ WHERE share = (SELECT max(share) FROM good h WHERE h.source_table = g.source_tab
           count(*) FILTER (WHERE (k + p) % 7 = 0) AS descriptions_null,
           (SELECT count(*) FROM declared) AS relationships FROM tabs, (VALUES (1), (2)) w(v) WHERE v = 2 OR k % 2 = 0 GROUP BY v)
         UNPIVOT (n FOR what IN (tables, descriptions_present, descriptions_null, relationships))"""),
+    "p7_scrub_known": _connections() + """, written AS (
+  SELECT *, CASE WHEN k % 3 = 0 THEN 'p%40ss' || c ELSE 'pw' || c || 'x' END AS pw FROM labels_),
+dsns AS (
+  SELECT *, CASE form WHEN 'word' THEN scheme WHEN 'none' THEN '' WHEN 'bare' THEN scheme || '://host' || c || port || path
+    ELSE scheme || '://user' || c || ':' || pw || '@Host' || (k % 9) || '.example.com' || port || path END AS dsn FROM written),
+known AS (
+  SELECT secret, min(mask) AS mask FROM (
+    SELECT dsn AS secret, label AS mask FROM dsns WHERE form IN ('bare', 'full') AND id % 2 = 0
+    UNION ALL SELECT pw, '***' FROM dsns WHERE form = 'full' AND id % 2 = 0
+    UNION ALL SELECT 'p@ss' || c, '***' FROM dsns WHERE form = 'full' AND id % 2 = 0 AND k % 3 = 0) GROUP BY secret),
+texts AS (
+  SELECT id, 'connect to ' || dsn || ' failed: password ''p@ss' || c || ''' or ''pw' || c
+    || 'x'' rejected by snowflake.errors; see ftp://bob:secret@files/x' AS message FROM dsns
+  UNION ALL SELECT -doc_id - 1, text FROM documents),
+-- No secret holds white space: it lies within one word.
+words AS (SELECT id, unnest(list_distinct(regexp_split_to_array(message, '[[:space:]]+'))) AS word FROM texts),
+places AS (SELECT DISTINCT word FROM words WHERE contains(word, '://') OR contains(word, 'pw') OR contains(word, 'ss')),
+lengths AS (SELECT DISTINCT length(secret) AS n FROM known),
+cuts AS (SELECT DISTINCT word, substring(word, i, n) AS secret FROM (
+  SELECT word, n, unnest(range(1, length(word) - n + 2)) AS i FROM places, lengths WHERE length(word) >= n)),
+hits AS (SELECT DISTINCT id, secret, mask FROM cuts JOIN known USING (secret) JOIN words USING (word)),
+per_text AS (SELECT id, list({'s': secret, 'm': mask} ORDER BY length(secret) DESC, secret) AS found FROM hits GROUP BY id)
+SELECT id, md5(CASE WHEN found IS NULL THEN message ELSE
+  list_reduce([{'s': '', 'm': message}] || found, lambda a, x: {'s': '', 'm': replace(a.m, x.s, x.m)}).m END) AS text_md5
+FROM texts LEFT JOIN per_text USING (id)""",
 }

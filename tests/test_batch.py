@@ -9,7 +9,8 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from cartolake.operators import containment, keys, profile, resume, sampling, search
+from cartolake.functions.dsn import scrub_dsn
+from cartolake.operators import containment, keys, profile, resume, sampling, search, secrets
 from cartolake.sources import bundle, versions
 from conftest import plan_of
 
@@ -294,3 +295,70 @@ def test_exchanges_of_a_profile_do_not_grow_with_the_tables(spark):
     kept = {(r.table, r.column): r.keep for r in profile.null_compaction(many).collect()}
     assert not kept["t3", "empty"] and kept["t3", "mail"] and kept["none", "empty"] and len(kept) == 39
     assert profile.pii_evidence({"numbers": spark.range(3)}).count() == 0
+
+
+# -- many secrets -------------------------------------------------------------
+def hidden(texts, known):
+    """Every text with every secret it holds replaced, the longest first, one by one."""
+    masks = {}
+    for secret, mask in known:
+        if secret and secret.strip():
+            masks[secret] = min(masks.get(secret, mask or ""), mask or "")
+    out = []
+    for text in texts:
+        found = [s for s in masks if text is not None and s in text]
+        for secret in sorted(found, key=lambda s: (-len(s), s.encode())):
+            text = text.replace(secret, masks[secret])
+        out.append(text)
+    return out
+
+
+def scrubbed(spark, texts, known):
+    rows = spark.createDataFrame([(i, t, f"row {i}", i * 2) for i, t in enumerate(texts)], "id int, `a text` string, row string, digest int")
+    secret_rows = spark.createDataFrame(known, "secret string, mask string")
+    got = secrets.scrub_known(rows.repartition(3), "a text", secret_rows)
+    assert got.columns == rows.columns
+    found = sorted(got.collect())
+    assert [(r[0], r[2], r[3]) for r in found] == [(i, f"row {i}", i * 2) for i in range(len(texts))]
+    return [r[1] for r in found]
+
+
+def test_secrets_of_any_kind(spark):
+    known = [("p", "1"), ("pa", "2"), ("two words", "3"), (" lead and trail ", "4"), ("x", None), ("pa", "0"), (None, "5"), ("", "6"), ("  ", "7"),
+             ("\u00e9\u4e2d\U0001f600ab", "8"), ("\U0001f600", "9"), ("line\nbreak", "10"), (r"$1\\.*", r"$2"), ("longsecret1", "L"), ("longsecret12", "M")]
+    texts = ["pap p", "", None, "a two  words", "a two words b", " lead and trail  lead", "xx", "a\u00e9\u4e2d\U0001f600ab\U0001f600",
+             "line\nbreak line", r"as $1\\.* is", "longsecret12 longsecret1 longsecret123", "  ", "PA"] + ["equal pa"] * 5
+    assert scrubbed(spark, texts, known) == hidden(texts, known)
+    assert scrubbed(spark, texts, [(None, "x"), (" ", "y")]) == texts
+    assert scrubbed(spark, [], known) == []
+
+
+def test_secrets_across_the_blocks_of_a_long_word(spark, monkeypatch):
+    r = random.Random(3)
+    noise = lambda n: "".join(r.choice("abc") for _ in range(n))
+    known = [(noise(n), f"<{n}>") for n in (1023, 1024, 1030, 1500, 40, 12, 9)] + [("Zq", "z")]
+    long = noise(1017) + "Zq" + noise(3) + known[3][0] + noise(500) + known[5][0] + noise(4) + known[0][0] + "Zq"
+    texts = [long, noise(1_000_000) + known[4][0], known[1][0], known[2][0] + known[6][0], "Zq", noise(1024)]
+    assert scrubbed(spark, texts, known) == hidden(texts, known)
+    # The same with both sides of each join shuffled.
+    monkeypatch.setattr(secrets, "SMALL_BYTES", 0)
+    assert scrubbed(spark, texts[:1] + texts[2:], known) == hidden(texts[:1] + texts[2:], known)
+
+
+def test_random_secrets_equal_brute_force(spark):
+    r = random.Random(7)
+    word = lambda a, b: "".join(r.choice("ab :/@") for _ in range(r.randint(a, b)))
+    known = [(word(1, 14), f"[{i % 5}]") for i in range(300)]
+    texts = [word(0, 60) for _ in range(120)]
+    assert scrubbed(spark, texts, known) == hidden(texts, known)
+
+
+def test_secrets_of_connection_strings(spark):
+    dsns = ["postgresql://u:p%40ss@H:5/db", "duckdb", "", None, "mysql://host/x", "pg://:only@h"]
+    known = {(r.secret, r.mask) for r in secrets.known_secrets(spark.createDataFrame([(d,) for d in dsns], "dsn string")).collect()}
+    assert known == {("postgresql://u:p%40ss@H:5/db", "u@h:5/db"), ("p%40ss", "***"), ("p@ss", "***"), ("mysql://host/x", "host/x"),
+                     ("pg://:only@h", "h"), ("only", "***")}
+    # One string and one message: what scrub_dsn says.
+    row = spark.createDataFrame([("at postgresql://u:p%40ss@H:5/db: p@ss, p%40ss", dsns[0])], "message string, dsn string")
+    got = secrets.scrub_known(row, "message", secrets.known_secrets(row)).first()
+    assert got.message == row.select(scrub_dsn(F.col("message"), F.col("dsn"))).first()[0]
