@@ -6,6 +6,7 @@ import re
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from cartolake.functions.classify import pii_risk
@@ -18,6 +19,7 @@ from cartolake.plans.tenants import LAYOUT
 from cartolake.schema import EDGE, TABLE_KEY
 from cartolake.session import checkpoint_dir
 from cartolake.sources import bundle, snapshot, versions
+from cartolake.streaming import audit
 
 NEEDLE_NAMES = sorted({name for name, _ in LAYOUT} | {c for _, columns in LAYOUT for c, _, _ in columns})
 # What identifies the rows of the given tables.
@@ -202,5 +204,32 @@ def p7_scrub_known(spark, sf_dir):
     return clean.select("id", F.md5("message").alias("text_md5"))
 
 
+@tenant_query
+def s16_audit_stream(t):
+    """Requests in three parts; the second is decided in vain once, and again when the catalog has grown."""
+    spark, path = t.spark, _scratch(t.spark)
+    asked = t.sample_requests()
+    k = F.to_number(F.substr("schema", F.lit(2)), F.lit("999999999999")).cast("bigint")
+    latest = [t.tables().filter(k % 2 == 0)]
+
+    def decide(batch, fail=False):
+        decided = sampling.adjudicate(batch, latest[-1])
+        return decided.withColumn("limit_effective", F.raise_error("lost").cast("int")) if fail else decided
+
+    def run(how) -> None:
+        stream = spark.readStream.schema(asked.schema).parquet(f"{path}/requests")
+        audit.audit_batches(stream, how, f"{path}/audit", f"{path}/checkpoint").awaitTermination()
+
+    for part in range(3):
+        asked.filter(F.col("request_id") % 3 == part).write.mode("append").parquet(f"{path}/requests")
+        if part == 1:
+            try:
+                run(lambda batch: decide(batch, fail=True))
+            except StreamingQueryException:
+                latest.append(t.tables())
+        run(decide)
+    return audit.read_audit(spark, f"{path}/audit")
+
+
 QUERIES = (u4_describe_tables, e3_merge, j9_sample_requests, r1_search_many, a2_composite_keys, e1_containment_all, e1_ties_all,
-           s10_versions, p7_scrub_known)
+           s10_versions, p7_scrub_known, s16_audit_stream)

@@ -132,4 +132,11 @@ per_text AS (SELECT id, list({'s': secret, 'm': mask} ORDER BY length(secret) DE
 SELECT id, md5(CASE WHEN found IS NULL THEN message ELSE
   list_reduce([{'s': '', 'm': message}] || found, lambda a, x: {'s': '', 'm': replace(a.m, x.s, x.m)}).m END) AS text_md5
 FROM texts LEFT JOIN per_text USING (id)""",
+    "s16_audit_stream": _catalog("""SELECT request_id, 'sample' AS tool, sch AS "schema", name AS "table", outcome,
+        asked AS limit_requested, CASE WHEN outcome = 'ok' THEN asked END AS limit_effective,
+        CASE WHEN outcome = 'ok' AND row_count IS NOT NULL THEN least(row_count, asked) END AS rows_returned
+        FROM (SELECT *, CASE WHEN asked < 1 THEN 'rejected_invalid_limit' WHEN asked > 20 THEN 'rejected_cap'
+          WHEN k % 12 = 0 OR (request_id % 3 = 0 AND k % 2 = 1) THEN 'rejected_unknown_table' ELSE 'ok' END AS outcome FROM (
+          SELECT k, k * 100 + p AS request_id, sch, tbl || CASE WHEN k % 12 = 0 THEN '_x' ELSE '' END AS name, row_count,
+            coalesce(([NULL, 1, 5, 20, 21, 0, -3])[k % 7 + 1], 5) AS asked FROM counted))"""),
 }

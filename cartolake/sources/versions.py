@@ -46,6 +46,9 @@ class _Files:
         names = (status.getPath().getName() for status in self.fs.listStatus(folder))
         return sorted(int(m.group(1)) for m in map(_NAME.fullmatch, names) if m)
 
+    def has(self, number: int) -> bool:
+        return self.fs.exists(self._path(f"{self.path}/{MANIFESTS}/{number:012d}.json"))
+
     def manifest(self, number: int) -> dict:
         stream = self.fs.open(self._path(f"{self.path}/{MANIFESTS}/{number:012d}.json"))
         try:

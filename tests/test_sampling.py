@@ -3,9 +3,11 @@ import decimal
 
 import pytest
 from conftest import plan_of
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from cartolake.operators import profile, sampling
+from cartolake.streaming import audit
 from cartolake.streaming.audit import audit_stream
 
 CD = ("schema string, `table` string, `column` string, description string, semantic_type string, pii_risk string, "
@@ -157,3 +159,53 @@ def test_evidence_raises_the_risk(spark, catalog):
                                  "`table` string, `column` string, kind string, filled bigint, matched bigint")
     risks = {r["column"]: r["pii_risk"] for r in profile.classify(columns, seen).collect()}
     assert risks == {"id": "none", "memo": "medium", "blob": "high"}
+
+
+def test_every_request_is_audited_once(spark, tables, tmp_path, monkeypatch):
+    source, sink, checkpoint = (str(tmp_path / n) for n in ("in", "audit", "checkpoint"))
+    known, asked = [tables("s.a")], "request_id int, schema string, `table` string, limit int"
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, asked).coalesce(1).write.mode("append").parquet(source)
+
+    def run(decide=lambda batch: sampling.adjudicate(batch, known[-1]), where=checkpoint):
+        audit.audit_batches(spark.readStream.schema(asked).parquet(source), decide, sink, where).awaitTermination()
+
+    def records():
+        return sorted((r.request_id, r.outcome) for r in audit.read_audit(spark, sink).collect())
+
+    assert audit.read_audit(spark, sink) is None
+    arrive((1, "s", "a", 5), (2, "s", "b", 5))
+    run(lambda batch: sampling.adjudicate(batch, known[-1]).withColumn("rows", F.array(F.lit("content"))))
+    assert records() == [(1, "ok"), (2, "rejected_unknown_table")] and "rows" not in audit.read_audit(spark, sink).columns
+    # Lost before it is published: no trace, and decided by the tables of the restart.
+    arrive((3, "s", "b", 5))
+    with pytest.raises(StreamingQueryException):
+        run(lambda batch: sampling.adjudicate(batch, known[-1]).withColumn("tool", F.raise_error("lost")))
+    assert len(records()) == 2
+    known.append(tables("s.a", "s.b"))
+    run()
+    assert records()[2:] == [(3, "ok")]
+    # Lost after it is published, before Spark notes it: passed over, though the tables changed.
+    publish = audit._Files.publish
+
+    def publish_and_fail(files, number, content):
+        publish(files, number, content)
+        raise RuntimeError("lost")
+
+    arrive((4, "s", "b", 5), (5, "s", "a", 21))
+    with monkeypatch.context() as m:
+        m.setattr(audit._Files, "publish", publish_and_fail)
+        with pytest.raises(StreamingQueryException):
+            run()
+    known.append(tables("s.z"))
+    before = records()
+    assert before[3:] == [(4, "ok"), (5, "rejected_cap")]
+    run()
+    assert records() == before
+    arrive((6, "s", "z", 1))
+    run()
+    assert records() == [*before, (6, "ok")]
+    # Another stream audits to the same place from the start.
+    run(where=str(tmp_path / "other"))
+    assert len(records()) == 12
