@@ -22,7 +22,7 @@ STRETCH_BITS = 9
 GROUP_BYTES = 8 << 20
 STEP_TOKENS = 1 << 17
 # Distinct words a worker remembers the ids of, about.
-CACHE_WORDS = 900_000
+CACHE_WORDS = 300_000
 # Separators to Python's str.split, but not to the tokenizer.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 # Fixed value: how a tokenizer with letters, digits and other characters apart cuts words.
