@@ -362,3 +362,24 @@ def test_secrets_of_connection_strings(spark):
     row = spark.createDataFrame([("at postgresql://u:p%40ss@H:5/db: p@ss, p%40ss", dsns[0])], "message string, dsn string")
     got = secrets.scrub_known(row, "message", secrets.known_secrets(row)).first()
     assert got.message == row.select(scrub_dsn(F.col("message"), F.col("dsn"))).first()[0]
+
+
+def test_progress_counts_what_the_log_holds(spark, catalog, tmp_path):
+    columns = catalog({f"s.t{i}": "id* a" for i in range(9)})
+    log, heard = resume.ResponseLog(spark, str(tmp_path / "log")), []
+
+    def hear(progress):
+        heard.append(progress)
+        raise RuntimeError("a callback that fails")
+
+    _, _, events = resume.describe_resumable(columns, flaky(broken=["t1"], cut=["t4"]), log, "m", attempts=2, backoff=0.0,
+                                             parallelism=2, calls_per_task=2, on_progress=hear)
+    first, second = ([p for p in heard if p.request == r] for r in (1, 2))
+    # Three slices of nine calls, then the one that failed again; one reminder.
+    assert [p.event for p in first] == ["started", "answered"] * 4 and [p.event for p in second] == ["started", "answered"]
+    assert first[0] == resume.Progress("started", 1, 0, 9, 0) and first[-1] == resume.Progress("answered", 1, 8, 9, 2)
+    assert second[-1] == resume.Progress("answered", 2, 1, 1, 0)
+    rows = log.rows()
+    assert rows.filter("outcome = 'ok'").count() == first[-1].index + second[-1].index
+    assert rows.filter("outcome <> 'ok'").count() == first[-1].errors
+    assert events.filter("event in ('ok', 'parse_retry')").count() == first[-1].index
