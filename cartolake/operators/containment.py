@@ -64,6 +64,9 @@ def contained(pairs: DataFrame, tables: Mapping[str, DataFrame], least: float =
     columns: dict[str, list[str]] = {}
     for r in used.collect():
         columns.setdefault(r["t"], []).append(r["c"])
+    if not columns:
+        return pairs.sparkSession.createDataFrame([], ", ".join(
+            [*(f"{c} string" for c in (*SOURCE, *TARGET)), "n_values bigint", "n_found bigint", "containment double"]))
     values = distinct_values(tables, columns)
     counts = values.groupBy("table", "column").agg(F.count("*").alias("n_values"))
     source = lambda df: df.select(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cartolake.functions import jsonvalue as J
 from cartolake.functions.text import let, once, strip_fence
+from cartolake.operators.sampling import DEFAULT_ROWS, json_cells
 from cartolake.schema import PII_RISKS, SEMANTIC_TYPES, TABLE_KEY
 from cartolake.session import materialize
 
@@ -87,17 +88,42 @@ def table_prompts(columns: DataFrame, samples: DataFrame | None = None, part_siz
     return lines.select(*PART_KEY, "n_columns", wide.alias("is_wide"), prompt.alias("prompt"))
 
 
+def _without_empty_columns() -> list[Column]:
+    """``samples`` and ``omitted_columns`` of ``rows`` (an array of arrays of cells).
+
+    Columns that no row fills are left out, unless that would leave none.
+    """
+    width = F.size(F.get("rows", F.lit(0)))
+    filled = F.filter(F.sequence(F.lit(0), width - 1), lambda i: F.exists("rows", lambda r: F.get(r, i)["filled"]))
+    kept = let(filled, lambda some: F.when(F.size(some) > 0, some).otherwise(F.sequence(F.lit(0), width - 1)))
+    body = let(kept, lambda keep: F.transform("rows", lambda r: F.concat(
+        F.lit("{"), F.array_join(F.transform(keep, lambda i: F.get(r, i)["json"]), ","), F.lit("}"))))
+    some_rows = F.size("rows") > 0
+    return [
+        F.when(some_rows, F.concat(F.lit("["), F.array_join(body, ","), F.lit("]"))).otherwise("[]").alias("samples"),
+        F.when(some_rows, width - F.size(kept)).otherwise(0).alias("omitted_columns")]
+
+
 def samples_block(rows: DataFrame, schema: str, table: str) -> DataFrame:
     """The ``samples`` row of one table from its (few) sampled rows, empty columns left out.
 
-    ``rows`` is the output of ``sample``: its size is the sampling limit.
+    ``rows`` is the output of ``sample``: its size is the sampling limit.  It is
+    evaluated once, for its rows may differ from one evaluation to the next.
+    """
+    held = rows.select(json_cells(rows.columns).alias("cells")).agg(F.collect_list("cells").alias("rows"))
+    return held.select(F.lit(schema).alias("schema"), F.lit(table).alias("table"), *_without_empty_columns())
+
+
+def sample_blocks(samples: DataFrame, n: int = DEFAULT_ROWS) -> DataFrame:
+    """The ``samples`` rows of all tables of ``sampling.table_samples``: their first ``n`` rows, empty columns left out.
+
+    A group is at most ``n`` rows of one table.  A table without rows, or one that
+    cannot be read, has an empty list and loses no column.
     """
-    filled = rows.agg(*[(F.count(F.col(f"`{c}`")) > 0).alias(c) for c in rows.columns]).first()
-    keep = [c for c in rows.columns if filled[c]] or rows.columns
-    body = F.to_json(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in keep])), {"ignoreNullFields": "false"})
-    return rows.agg(body.alias("samples")).select(
-        F.lit(schema).alias("schema"), F.lit(table).alias("table"), "samples",
-        F.lit(len(rows.columns) - len(keep)).alias("omitted_columns"))
+    held = samples.groupBy(*TABLE_KEY).agg(F.sort_array(F.collect_list(
+        F.when(F.col("rank") <= n, F.struct("rank", "cells")))).alias("ranked"))
+    return held.select(*TABLE_KEY, F.transform("ranked", lambda r: r["cells"]).alias("rows")).select(
+        *TABLE_KEY, *_without_empty_columns())
 
 
 def generate(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cartolake.functions.text import let
 from cartolake.operators.skew import lookup_join
 from cartolake.schema import PROTECTED_RISKS, TABLE_KEY
 from cartolake.session import materialize
@@ -146,7 +147,17 @@ def adjudicate(requests: DataFrame, tables: DataFrame, default: int = DEFAULT_RO
         *decide(F.col("limit"), is_known, F.col("row_count"), default, cap))
 
 
-SAMPLES = "schema string, `table` string, rank int, row string, error string"
+SAMPLES = "schema string, `table` string, rank int, row string, error string, cells array<struct<filled:boolean,json:string>>"
+
+
+def json_cells(names: Sequence[str]) -> Column:
+    """A row as an array of its columns, each with whether it is filled and its member of the row's JSON object."""
+    def cell(name: str) -> Column:
+        value = F.col(f"`{name}`")
+        member = let(F.to_json(F.struct(value), {"ignoreNullFields": "false"}), lambda j: F.substr(j, F.lit(2), F.length(j) - 2))
+        return F.struct(value.isNotNull().alias("filled"), member.alias("json"))
+
+    return F.array(*[cell(name) for name in names])
 
 
 def table_samples(
@@ -160,11 +171,12 @@ def table_samples(
     on_missing: str = "pass",
     workers: int = 5,
 ) -> DataFrame:
-    """The ``cap`` rows of each table with the smallest hashes: (schema, table, rank, row, error).
+    """The ``cap`` rows of each table with the smallest hashes: (schema, table, rank, row, error, cells).
 
     One pass per table serves any number of requests: every task keeps its ``cap`` best
     rows, so nothing but these is moved.  Rows are redacted before they are hashed or
-    read, then coerced, one JSON object each.  The hash is the MD5 of ``key_columns``, which
+    read, then coerced, one JSON object each; ``cells`` are its
+    columns (see ``json_cells``).  The hash is the MD5 of ``key_columns``, which
     must identify rows, or else of the redacted row, so a sample does not depend on how a
     table is stored.  An
     empty table gives one row without rank.  A table that cannot be read gives one row
@@ -180,24 +192,26 @@ def table_samples(
             # Only the rows that stay are written as JSON.
             first = shown.withColumn("__by", F.md5(own)).orderBy("__by").limit(cap)
             return materialize(first.select(F.col("__by").alias("by"), F.to_json(
-                F.struct(*[F.col(f"`{c}`") for c in shown.columns]), {"ignoreNullFields": "false"}).alias("row")), "sample")
+                F.struct(*[F.col(f"`{c}`") for c in shown.columns]), {"ignoreNullFields": "false"}).alias("row"),
+                json_cells(shown.columns).alias("cells")), "sample")
         except (PySparkException, Py4JJavaError) as exc:
             return f"{type(exc).__name__}: {str(exc).splitlines()[0]}"
 
     found = list(tables.items())
     with ThreadPoolExecutor(workers) as pool:
         results = list(pool.map(one, found))
-    errors = [(*key, None, None, r) for (key, _), r in zip(found, results) if isinstance(r, str)]
+    errors = [(*key, None, None, r, None) for (key, _), r in zip(found, results) if isinstance(r, str)]
     out = spark.createDataFrame(errors, SAMPLES)
     for (key, _), stored in zip(found, results):
         if isinstance(stored, str):
             continue
         schema, table = (F.lit(k) for k in key)
         # At most ``cap`` rows of one table.
-        listed = stored.agg(F.sort_array(F.collect_list(F.struct("by", "row"))).alias("rows"))
+        listed = stored.agg(F.sort_array(F.collect_list(F.struct("by", "row", "cells"))).alias("rows"))
         out = out.unionByName(listed.select(
             schema.alias("schema"), table.alias("table"), F.posexplode_outer("rows").alias("at", "r")).select(
-            *TABLE_KEY, (F.col("at") + 1).cast("int").alias("rank"), F.col("r.row").alias("row"), F.lit(None).cast("string").alias("error")))
+            *TABLE_KEY, (F.col("at") + 1).cast("int").alias("rank"), F.col("r.row").alias("row"), F.lit(None).cast("string").alias("error"),
+            F.col("r.cells").alias("cells")))
     return materialize(out, "samples")
 
 

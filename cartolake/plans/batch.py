@@ -1,7 +1,8 @@
-"""Registered queries of whole runs: resumed descriptions, answered samples, many needles, versions, discovered keys."""
+"""Registered queries of whole runs: resumed descriptions and judgements, answered samples, many needles, versions, keys, reports."""
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Callable
@@ -11,14 +12,17 @@ from pyspark.sql import functions as F
 
 from cartolake.functions.classify import pii_risk
 from cartolake.functions.text import strip_prefix
-from cartolake.operators import containment, drift, keys, overlap, resume, sampling, search, secrets
+from cartolake.operators import (
+    containment, diff, drift, edges, enrich, judge, keys, overlap, profile, resume, sampling, search, secrets)
 from cartolake.operators import relationships as rel
 from cartolake.plans import answers
-from cartolake.plans.queries import REAL_TABLES, _connections, _previous_columns, _real_columns, query, real, tenant_query
+from cartolake.plans.queries import (
+    REAL_TABLES, _compared, _connections, _previous_columns, _real_columns, query, real, s5_foreign_key_pairs, s12_integrity,
+    tenant_query)
 from cartolake.plans.tenants import LAYOUT
-from cartolake.schema import EDGE, TABLE_KEY
+from cartolake.schema import COLUMNS, EDGE, TABLE_KEY
 from cartolake.session import checkpoint_dir
-from cartolake.sources import bundle, snapshot, versions
+from cartolake.sources import bundle, reports, snapshot, versions
 from cartolake.streaming import audit
 
 NEEDLE_NAMES = sorted({name for name, _ in LAYOUT} | {c for _, columns in LAYOUT for c, _, _ in columns})
@@ -67,6 +71,120 @@ def u4_describe_tables(t):
         F.coalesce("n_columns", F.lit(0)).cast("bigint").alias("n_columns"))
 
 
+@tenant_query
+def u9_progress(t):
+    """What an interrupted run and the one that resumes it tell of their calls, and (run 0) what their log holds."""
+    columns, log, told = t.columns(), resume.ResponseLog(t.spark, _scratch(t.spark)), []
+    for run, outage in ((1, True), (2, False)):
+        def hear(p: resume.Progress, run=run) -> None:
+            told.append((run, p.request, p.event, p.index, p.total, p.errors))
+
+        resume.describe_resumable(
+            columns, flawed_model(outage), log, "offline", attempts=run, on_progress=hear, backoff=0.0,
+            parallelism=t.spark.sparkContext.defaultParallelism, calls_per_task=4000)
+    # Two rows per slice of calls.
+    heard = t.spark.createDataFrame(told, "run int, request int, event string, answered bigint, total bigint, errors bigint")
+    ends = heard.groupBy("run", "request").agg(
+        *[F.max(c).alias(c) for c in ("answered", "total", "errors")],
+        (F.count_if(F.col("event") == "started") == F.count_if(F.col("event") == "answered")).alias("every_slice_ended"))
+    ok = F.count_if(F.col("outcome") == "ok")
+    return ends.unionByName(log.rows().groupBy("request").agg(
+        F.lit(0).alias("run"), ok.alias("answered"), F.count("*").alias("total"), (F.count("*") - ok).alias("errors"),
+        F.lit(True).alias("every_slice_ended")))
+
+
+def flawed_judge(outage: bool) -> Callable[[str], str]:
+    """A judge whose scores follow from the names; in an outage it answers no tenant with k % 3 = 1."""
+    def answer(prompt: str) -> str:
+        schema, table = re.search(r"^Table: (\S*)\.(\S+)$", prompt, re.M).groups()
+        k = int(schema[1:])
+        if (outage and k % 3 == 1) or (k % 5 == 4 and table == "orders"):
+            raise RuntimeError("busy")
+        if table == "pages":
+            return "A fine description."
+        marks = {"accuracy": 1 + k % 5, "specificity": len(table), "domain_inference": k % 4}
+        return json.dumps({name: {"score": score, "reasoning": "by name"} for name, score in marks.items()})
+
+    return answer
+
+
+@tenant_query
+def u7_evaluate(t):
+    """Scores of all described tables after a run in an outage and the run that resumes it, with the calls they took."""
+    log = resume.ResponseLog(t.spark, _scratch(t.spark))
+    described = (t.columns(), t.table_descriptions(), t.column_descriptions())
+    how = {"parallelism": t.spark.sparkContext.defaultParallelism, "calls_per_task": 4000, "backoff": 0.0}
+    resume.judge_resumable(*described, flawed_judge(True), log, "judge", **how)
+    scores, _ = resume.judge_resumable(*described, flawed_judge(False), log, "judge", attempts=2, **how)
+    spent = log.rows().groupBy(*TABLE_KEY).agg(F.count("*").alias("calls"))
+    return scores.join(spent, TABLE_KEY).select(
+        *TABLE_KEY, "status", *judge.DIMENSIONS, "accuracy_reasoning", "calls")
+
+
+def _sampled_tables(spark, sf_dir):
+    """The given tables (vectors as thousandths), one with empty columns, and one of 32 columns."""
+    tables = real(spark, sf_dir)
+    tables["embeddings"] = tables["embeddings"].withColumn(
+        "embedding", F.transform("embedding", lambda x: F.floor(x * 1000).cast("int")))
+    tables["sparse"] = tables["events"].select(
+        "event_id", F.lit(None).cast("string").alias("note"), "ts", F.lit(None).cast("double").alias("amount"),
+        F.when(F.col("event_id") % 2 == 0, F.col("user_id")).alias("even_user"))
+    tables["order_lines"] = (
+        tables["lineitem"].join(tables["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(tables["customer"], F.col("o_custkey") == F.col("c_custkey"))
+        .join(tables["part"], F.col("l_partkey") == F.col("p_partkey"))
+        .join(tables["supplier"], F.col("l_suppkey") == F.col("s_suppkey")))
+    return tables, {**ROW_KEYS, "sparse": ["event_id"], "order_lines": ROW_KEYS["lineitem"]}
+
+
+@query
+def u2_prompts_with_samples(spark, sf_dir):
+    """Prompts with sample rows: empty columns left out, wide tables told to be brief."""
+    tables, by = _sampled_tables(spark, sf_dir)
+    columns = spark.createDataFrame(
+        [("main", name, i, f.name, snapshot.render_type(f.dataType), True, f.name in by[name], None)
+         for name, df in tables.items() for i, f in enumerate(df.schema.fields, start=1)], COLUMNS)
+    samples = sampling.table_samples(
+        spark, {("main", name): lambda df=df: df for name, df in tables.items()}, None, cap=enrich.DEFAULT_ROWS,
+        key_columns={("main", name): key for name, key in by.items()})
+    blocks = enrich.sample_blocks(samples)
+    return enrich.table_prompts(columns, blocks).join(blocks.select(*TABLE_KEY, "omitted_columns"), TABLE_KEY).select(
+        *TABLE_KEY, "part", "n_columns", "is_wide", "omitted_columns", F.length("prompt").alias("prompt_length"),
+        F.md5("prompt").alias("prompt_md5"))
+
+
+@query
+def p1_column_types(spark, sf_dir):
+    """Columns of the given tables, of orders with nested lines and of a table that cannot be read, and whether any row fills them."""
+    tables = real(spark, sf_dir)
+    lines = tables["lineitem"].groupBy("l_orderkey").agg(F.sort_array(F.collect_list(
+        F.struct("l_linenumber", "l_partkey", "l_quantity", F.struct("l_returnflag", "l_shipdate").alias("state")))).alias("lines"))
+    nested = tables["orders"].join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(
+        "o_orderkey", F.struct("o_custkey", F.col("o_totalprice").cast("decimal(15,2)").alias("price")).alias("about"), "lines",
+        F.create_map("o_orderstatus", "o_orderpriority").alias("status"), F.array(F.array("o_custkey")).alias("grid"),
+        F.lit(None).cast("date").alias("closed"), F.lit(None).cast("binary").alias("seal"))
+    path = _scratch(spark)
+    nested.write.parquet(path)
+    paths = {("main", n): f"{sf_dir}/{n}.parquet" for n in [*REAL_TABLES, "broken"]} | {("lake", "nested"): path}
+    filled = profile.null_compaction({**tables, "nested": spark.read.parquet(path)})
+    return snapshot.snapshot(spark, paths).join(filled.drop("column"), ["table", "ordinal"], "left").select(
+        *TABLE_KEY, "ordinal", "column", "data_type", "nullable", F.col("error").isNotNull().alias("unreadable"), "keep")
+
+
+@tenant_query
+def r2_edge_report(t):
+    return reports.edge_report(s5_foreign_key_pairs(t), t.relationships().filter("kind = 'inferred'"))
+
+
+@tenant_query
+def r3_report_lists(t):
+    """The sorted lists of a comparison, of an integrity check and of a relationship report."""
+    return reports.report_lists({
+        "tables": (diff.table_changes(t.tables(), t.other_tables()), ["change_type", *TABLE_KEY]),
+        "integrity": (s12_integrity(t), ["problem", *TABLE_KEY]),
+        "breakdown": (edges.edge_breakdown(_compared(t)), TABLE_KEY)})
+
+
 @tenant_query
 def e3_merge(t):
     """Descriptions after tables that changed were described again; those that went are gone."""
@@ -231,5 +349,5 @@ def s16_audit_stream(t):
     return audit.read_audit(spark, f"{path}/audit")
 
 
-QUERIES = (u4_describe_tables, e3_merge, j9_sample_requests, r1_search_many, a2_composite_keys, e1_containment_all, e1_ties_all,
+QUERIES = (u4_describe_tables, u9_progress, u7_evaluate, u2_prompts_with_samples, p1_column_types, r2_edge_report, r3_report_lists, e3_merge, j9_sample_requests, r1_search_many, a2_composite_keys, e1_containment_all, e1_ties_all,
            s10_versions, p7_scrub_known, s16_audit_stream)

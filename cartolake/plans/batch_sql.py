@@ -5,7 +5,8 @@ from __future__ import annotations
 from itertools import combinations
 
 from cartolake.plans.batch import NEEDLE_NAMES, ROW_KEYS
-from cartolake.plans.oracle import REAL, _catalog, _connections, lit
+from cartolake.operators import enrich
+from cartolake.plans.oracle import EDGE, ORACLE, REAL, _LINK_EDGE, _catalog, _connections, lit
 
 _STALE = """(k % 6 = 0 AND tbl = 'pages') OR (k % 8 = 0 AND tbl = 'orders') OR k % 13 = 0
   OR (k % 10 = 3 AND tbl IN (SELECT tbl FROM base WHERE typ = 'int'))"""
@@ -36,6 +37,80 @@ def _samples() -> str:
     return "\nUNION ALL ".join(parts)
 
 
+# Types of the given tables' columns: the letters of REAL, and the columns that differ from them.
+_TYPES = {"i": "bigint", "f": "double", "s": "string", "t": "timestamp_ntz", "a": "float REPEATED"}
+_INTS = {"r_regionkey", "n_nationkey", "n_regionkey", "c_nationkey", "s_nationkey", "p_size", "l_linenumber", "label", "quality", "toxic"}
+_NESTED = [
+    ("o_orderkey", "bigint"), ("about", "RECORD<o_custkey bigint, price decimal(15,2)>"),
+    ("lines", "RECORD<l_linenumber int, l_partkey bigint, l_quantity double, state RECORD<l_returnflag string, "
+              "l_shipdate timestamp_ntz>> REPEATED"),
+    ("status", "RECORD<key string, value string> REPEATED"), ("grid", "bigint REPEATED REPEATED"), ("closed", "date"), ("seal", "binary")]
+
+
+def _typed(table: str) -> list[tuple[str, str]]:
+    return [(c, "int" if c in _INTS else _TYPES[kind]) for c, kind in (x.split(":") for x in REAL[table].split())]
+
+
+def _column_types() -> str:
+    row = lambda schema, table, i, c, kind, keep, source: (
+        f"SELECT '{schema}' AS \"schema\", '{table}' AS \"table\", {i} AS ordinal, '{c}' AS \"column\", '{kind}' AS data_type, "
+        f"true AS nullable, false AS unreadable, {keep} AS keep FROM {source}")
+    parts = [row("main", t, i, c, kind, f"count({c}) > 0 OR count(*) = 0", t)
+             for t in REAL for i, (c, kind) in enumerate(_typed(t), start=1)]
+    parts += [row("lake", "nested", i, c, kind, f"count(*) = 0 OR {'false' if c in ('closed', 'seal') else 'count(*) > 0'}", "orders")
+              for i, (c, kind) in enumerate(_NESTED, start=1)]
+    parts.append("SELECT 'main', 'broken', NULL, NULL, NULL, NULL, true, NULL")
+    return "\nUNION ALL ".join(parts)
+
+
+def _prompts_with_samples() -> str:
+    wide = [("lineitem", None), ("orders", "l_orderkey = o_orderkey"), ("customer", "o_custkey = c_custkey"),
+            ("part", "l_partkey = p_partkey"), ("supplier", "l_suppkey = s_suppkey")]
+    layout = {t: (_typed(t), ROW_KEYS[t], t) for t in REAL}
+    layout["embeddings"] = ([(c, "int REPEATED" if c == "embedding" else k) for c, k in _typed("embeddings")], ["vec_id"],
+                            "(SELECT vec_id, list_transform(embedding, lambda x: floor(x::FLOAT * 1000)::INTEGER) AS embedding, label FROM embeddings)")
+    layout["sparse"] = ([("event_id", "bigint"), ("note", "string"), ("ts", "timestamp_ntz"), ("amount", "double"), ("even_user", "bigint")],
+                        ["event_id"], "(SELECT event_id, NULL::VARCHAR AS note, ts, NULL::DOUBLE AS amount, "
+                        "CASE WHEN event_id % 2 = 0 THEN user_id END AS even_user FROM events)")
+    layout["order_lines"] = ([x for t, _ in wide for x in _typed(t)], ROW_KEYS["lineitem"], "(SELECT * FROM " + " ".join(
+        f"JOIN {t} ON {on}" if on else t for t, on in wide) + ")")
+    parts = []
+    for table, (columns, key, source) in layout.items():
+        by = " || '|' || ".join(f"{c}::VARCHAR" for c in key)
+        text = {"string": "to_json({})::VARCHAR", "int REPEATED": "to_json({})::VARCHAR",
+                "timestamp_ntz": "'\"' || strftime({0}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond({0}) % 1000000 > 0 "
+                                 "THEN '.' || lpad((microsecond({0}) % 1000000)::VARCHAR, 6, '0') ELSE '' END || '\"'"}
+        member = [f"CASE WHEN count({c}) OVER () > 0 THEN '\"{c}\":' || coalesce({text.get(kind, '{}::VARCHAR').format(c)}, 'null') END"
+                  for c, kind in columns]
+        gone = " + ".join(f"CASE WHEN count({c}) OVER () = 0 THEN 1 ELSE 0 END" for c, _ in columns)
+        lines = "\n".join(f"  - {c}: {kind}, nullable=true, pk={'true' if c in key else 'false'}" for c, kind in columns)
+        brief = enrich.WIDTH_GUIDANCE if len(columns) >= 30 else ""
+        parts.append(f"""SELECT '{table}' AS tbl, {len(columns)} AS n, any_value(gone)::INTEGER AS gone,
+  {lit(enrich.INSTRUCTIONS + f"{chr(10) * 2}Table: main.{table}{chr(10)}Columns:{chr(10)}{lines}{chr(10)}Sample rows (JSON")}
+  || CASE WHEN any_value(gone) > 0 THEN ', without ' || any_value(gone) || ' empty columns' ELSE '' END || '):' || chr(10) || '['
+  || string_agg('{{' || body || '}}', ',' ORDER BY rn) || ']' || chr(10) || {lit(brief + enrich.ANSWER_SHAPE)} AS prompt
+FROM (SELECT rn, concat_ws(',', {', '.join(member)}) AS body, {gone} AS gone FROM (
+  SELECT *, row_number() OVER (ORDER BY md5({by})) AS rn FROM {source} QUALIFY row_number() OVER (ORDER BY md5({by})) <= 5))""")
+    listed = "\nUNION ALL ".join(parts)
+    return f"""SELECT 'main' AS "schema", tbl AS "table", 0 AS part, n::BIGINT AS n_columns, n >= 30 AS is_wide, gone AS omitted_columns,
+  length(prompt)::INTEGER AS prompt_length, md5(prompt) AS prompt_md5 FROM ({listed})"""
+
+
+def _lists() -> str:
+    def one(section: str, query: str, order: str, columns: list[str], texts: int) -> str:
+        cells = [f"""'"{c}":' || """ + (f"""'"' || "{c}" || '"'""" if i < texts else f'"{c}"') for i, c in enumerate(columns)]
+        payload = "'{' || " + " || ',' || ".join(cells) + " || '}'"
+        return (f"SELECT '{section}' AS section, row_number() OVER (ORDER BY {order}) AS position, {payload} AS payload "
+                f"FROM ({ORACLE[query]})")
+
+    names = '"schema", "table"'
+    return "\nUNION ALL ".join([
+        one("tables", "o2_table_changes", f"change_type, {names}", ["change_type", "schema", "table"], 3),
+        one("integrity", "s12_integrity", f"problem, {names}", ["problem", "schema", "table"], 3),
+        one("breakdown", "a12_breakdown", names,
+            ["schema", "table", "declared", "inferred_correct", "missed", "false_positive"], 2)])
+
+
 _TABLES = [*REAL, "broken", "nowhere"]
 _PAIRS = [
     ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
@@ -64,6 +139,34 @@ BATCH_ORACLE: dict[str, str] = {
         FROM (SELECT sch, tbl, CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END AS lost, (SELECT count(*) FROM base b WHERE b.tbl = tabs.tbl) AS width,
           CASE WHEN k % 5 = 4 AND tbl = 'orders' THEN 'provider_error' WHEN tbl = 'pages' THEN 'failed'
             WHEN k % 8 = 6 THEN 'parse_retry' ELSE 'ok' END AS event FROM tabs)"""),
+    "u9_progress": _catalog("""SELECT CAST(run AS INTEGER) AS run, CAST(request AS INTEGER) AS request, CAST(answered AS BIGINT) AS answered,
+        CAST(total AS BIGINT) AS total, CAST(errors AS BIGINT) AS errors, true AS every_slice_ended FROM (
+        SELECT 1 AS run, 1 AS request, count(*) FILTER (WHERE NOT never AND NOT late) AS answered, count(*) AS total,
+          count(*) FILTER (WHERE never OR late) AS errors FROM asked
+        UNION ALL SELECT 1, 2, count(*), count(*), 0 FROM asked WHERE unclear AND NOT never AND NOT late HAVING count(*) > 0
+        UNION ALL SELECT 2, 1, count(*) FILTER (WHERE NOT never), count(*), 2 * count(*) FILTER (WHERE never)
+          FROM asked WHERE never OR late HAVING count(*) > 0
+        UNION ALL SELECT 2, 2, count(*), count(*), 0 FROM asked WHERE unclear AND late AND NOT never HAVING count(*) > 0
+        UNION ALL SELECT 0, 1, count(*) FILTER (WHERE NOT never),
+          count(*) + count(*) FILTER (WHERE late AND NOT never) + 2 * count(*) FILTER (WHERE never),
+          count(*) FILTER (WHERE late AND NOT never) + 3 * count(*) FILTER (WHERE never) FROM asked
+        UNION ALL SELECT 0, 2, count(*), count(*), 0 FROM asked WHERE unclear AND NOT never HAVING count(*) > 0)""", """asked AS (
+        SELECT k % 5 = 4 AND tbl = 'orders' AS never, k % 3 = 1 AS late, tbl = 'pages' OR k % 8 = 6 AS unclear FROM tabs)"""),
+    "u7_evaluate": _catalog("""SELECT sch AS "schema", tbl AS "table", CASE WHEN fine THEN 'ok' ELSE 'failed' END AS status,
+        CASE WHEN fine THEN (1 + k % 5)::INTEGER END AS accuracy,
+        CASE WHEN fine THEN least(length(tbl), 5)::INTEGER END AS specificity,
+        CASE WHEN fine THEN greatest(k % 4, 1)::INTEGER END AS domain_inference,
+        CASE WHEN fine THEN 'by name' END AS accuracy_reasoning,
+        (CASE WHEN never THEN 3 WHEN k % 3 = 1 THEN 2 ELSE 1 END)::BIGINT AS calls
+        FROM (SELECT *, NOT never AND tbl <> 'pages' AS fine FROM (
+          SELECT k, sch, tbl, k % 5 = 4 AND tbl = 'orders' AS never FROM slot WHERE filled))"""),
+    "u2_prompts_with_samples": _prompts_with_samples(),
+    "p1_column_types": _column_types(),
+    "r2_edge_report": _catalog(f"""SELECT row_number() OVER (ORDER BY kind, source_schema, source_table, cname NULLS FIRST, ord NULLS FIRST,
+        source_column, target_schema, target_table, target_column) AS position, kind, {EDGE} FROM (
+        SELECT {_LINK_EDGE}, 'declared' AS kind, cname, ord FROM links WHERE tsch IS NOT NULL
+        UNION ALL SELECT {EDGE}, kind, NULL, NULL FROM rel WHERE kind = 'inferred')"""),
+    "r3_report_lists": _lists(),
     "e3_merge": _catalog(f"""SELECT sch AS "schema", tbl AS "table",
         CASE WHEN filled THEN 'Rows about ' || tbl || CASE WHEN stale THEN ' v2' ELSE '' END END AS description,
         CAST(CASE WHEN filled THEN width ELSE 0 END AS BIGINT) AS n_columns,

@@ -23,31 +23,33 @@ from cartolake.operators.skew import lookup_join
 from cartolake.schema import COLUMN_KEY, EDGE, TABLE_KEY
 
 SYSTEM_SCHEMAS = ("pg_catalog", "information_schema")
+SYSTEM_PREFIX = "pg_"
 
 
-def user_schemas(schemata: DataFrame, system: Sequence[str] = SYSTEM_SCHEMAS) -> DataFrame:
-    """Distinct schema names without the system ones (exact names and the ``pg_`` prefix)."""
-    return (
-        schemata.select("schema")
-        .filter(~F.col("schema").isin(*system) & ~F.col("schema").startswith("pg_"))
-        .distinct()
-    )
+def _is_user_schema(system: Sequence[str], prefix: str | None) -> Column:
+    named = ~F.col("schema").isin(*system)
+    return named & ~F.col("schema").startswith(prefix) if prefix else named
+
+
+def user_schemas(schemata: DataFrame, system: Sequence[str] = SYSTEM_SCHEMAS, prefix: str | None = SYSTEM_PREFIX) -> DataFrame:
+    """Distinct schema names without the system ones: exact names, and those with ``prefix`` unless it is None."""
+    return schemata.select("schema").filter(_is_user_schema(system, prefix)).distinct()
 
 
 def scope(df: DataFrame, schemas: Sequence[str] | None = None, default: str | None = None,
-          schemata: DataFrame | None = None) -> DataFrame:
+          schemata: DataFrame | None = None, prefix: str | None = SYSTEM_PREFIX) -> DataFrame:
     """Restrict rows to a schema scope.
 
     An explicit list wins (an empty list selects nothing), then the bound default
-    schema, then every user schema.
+    schema, then every user schema.  Rows of a schema that owns very many are spread over tasks.
     """
     if schemas is not None:
         return df.filter(F.col("schema").isin(*schemas)) if schemas else df.filter(F.lit(False))
     if default is not None:
         return df.filter(F.col("schema") == default)
     if schemata is None:
-        return df.filter(~F.col("schema").isin(*SYSTEM_SCHEMAS) & ~F.col("schema").startswith("pg_"))
-    return df.join(user_schemas(schemata), "schema", "left_semi")
+        return df.filter(_is_user_schema(SYSTEM_SCHEMAS, prefix))
+    return lookup_join(df, user_schemas(schemata, prefix=prefix), ["schema"]).select(*df.columns)
 
 
 def known_count(raw: Column) -> Column:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cartolake.operators.skew import group_rank
 from cartolake.schema import EDGE, TABLE_KEY
 
 ARTIFACT_VERSION = 1
@@ -36,6 +37,33 @@ def ordered_edges(relationships: DataFrame) -> DataFrame:
     return relationships.orderBy("kind", *EDGE)
 
 
+def edge_report(declared: DataFrame, inferred: DataFrame) -> DataFrame:
+    """Edges with their ``position`` in the report: declared ones as their source lists them, then inferred ones by source.
+
+    ``declared`` carries the order of its source within a table as constraint_name and
+    ordinal.  Positions are counted in slices, so no task sorts the whole list.
+    """
+    none = {"constraint_name": F.lit(None).cast("string"), "ordinal": F.lit(None).cast("int")}
+    edges = declared.select(*EDGE, F.lit("declared").alias("kind"), "constraint_name", F.col("ordinal").cast("int").alias("ordinal"))
+    edges = edges.unionByName(inferred.select(*EDGE, F.lit("inferred").alias("kind")).withColumns(none))
+    order = ["kind", *EDGE[:2], "constraint_name", "ordinal", *EDGE[2:]]
+    return group_rank(edges, [], order, "position").select("position", "kind", *EDGE)
+
+
+def report_lists(sections: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """Lists of a report, each in its own order: (section, position, payload) from {section: (rows, order)}.
+
+    Names sort by code point, NULL first; equal keys go by payload.  Sorted by
+    section and position, the rows are the printed lists.
+    """
+    parts = [
+        df.select(F.lit(name).alias("section"), F.array(*[F.col(c).cast("string") for c in order]).alias("__key"),
+                  F.to_json(F.struct("*"), _KEEP_NULLS).alias("payload"))
+        for name, (df, order) in sections.items()]
+    stacked = reduce(DataFrame.unionByName, parts)
+    return group_rank(stacked, ["section"], ["__key", "payload"], "position").select("section", "position", "payload")
+
+
 def truncated(df: DataFrame, order_by: Sequence[str], n: int = 10) -> DataFrame:
     """The first n rows for a printed report, in order."""
     return df.orderBy(*order_by).limit(n)
