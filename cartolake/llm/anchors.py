@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.llm.common import materialize, mixed, small_side, text_class
+from cartolake.operators.skew import lookup_join
 
 SEGMENT_UNITS = 1 << 18
 # An anchor text at more places than this is not compared in one task but by window digests.
@@ -159,7 +160,7 @@ class Corpus:
         self.window, self.k, self.units_of = window, k, units_of
         self.docs = docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        signed = materialize(self._with_class(self.docs).mapInArrow(
+        signed = materialize(self.with_class(self.docs).mapInArrow(
             self._signer(), "doc_id long, cls binary, units long, keys array<long>, pos array<int>"), "signed")
         self.classes = materialize(signed.groupBy("cls").agg(
             F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.max("units").alias("units")), "classes")
@@ -167,7 +168,7 @@ class Corpus:
             self.classes.select(F.col("cls").alias("c"), "rep"),
             (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "rep", "keys", "pos")
 
-    def _with_class(self, docs: DataFrame) -> DataFrame:
+    def with_class(self, docs: DataFrame) -> DataFrame:
         return docs.withColumn("cls", text_class(F.col("text")))
 
     def _signer(self):
@@ -191,9 +192,19 @@ class Corpus:
         return self.signed.select("cls", "rep", F.explode(F.arrays_zip("keys", "pos")).alias("a")).select(
             F.col("a.keys").alias("key"), "cls", "rep", F.col("a.pos").alias("pos"))
 
-    def places(self, repeated: DataFrame) -> DataFrame:
-        """(cls, rep, pos, hot): the repeated anchors of each text, those of very frequent anchor texts apart."""
-        often = repeated.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ANCHORS)
+    def repeated_anchors(self) -> tuple[DataFrame, DataFrame]:
+        """The anchors whose key occurs more than once, rows of a frequent key spread over tasks; and (key, n) of such keys."""
+        every = self.anchors()
+        again = materialize(every.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "again")
+        return lookup_join(every, again.select("key"), ["key"], freq=again, hot_rows=HOT_ANCHORS, spread=["cls", "pos"]), again
+
+    def places(self, repeated: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+        """(cls, rep, pos, hot): the repeated anchors of each text, those of very frequent anchor texts apart.
+
+        ``counts`` is (key, n) of the repeated anchors, if they are counted already.
+        """
+        counts = repeated.groupBy("key").agg(F.count("*").alias("n")) if counts is None else counts
+        often = counts.filter(F.col("n") > HOT_ANCHORS)
         often = materialize(often.select(F.col("key").alias("often")), "hot-anchors")
         marked = repeated.join(small_side(often, F.lit(16)), F.col("key") == F.col("often"), "left")
         return materialize(marked.groupBy("cls", "rep", F.col("often").isNotNull().alias("hot")).agg(
@@ -204,7 +215,7 @@ class Corpus:
         window, k, units_of = self.window, self.k, self.units_of
         # Broadcast if small; else both sides are shuffled by the text's class.
         side = small_side(places.select(F.col("cls").alias("c"), "rep", "pos"), F.lit(64) + F.size("pos") * 4)
-        wanted = self._with_class(self.docs).join(
+        wanted = self.with_class(self.docs).join(
             side, (F.col("cls") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text", "pos")
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +234,7 @@ class Corpus:
         return wanted.mapInArrow(run, schema)
 
     def frequent_windows(self, places: DataFrame, unit_pair: Callable[[bytes], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-        """(cls, start, end) of repeated windows at very frequent anchors, by counts of 128-bit window digests.
+        """(cls, start, end, a, b) of repeated windows at very frequent anchors, by counts of their 128-bit digests a, b.
 
         Counts are summed before they travel, so no task holds the windows of a key.
         """
@@ -237,9 +248,9 @@ class Corpus:
                  pa.array(pair[:, 1].copy())], names=["cls", "start", "a", "b"])
 
         rows = materialize(self.emit(places, rows_of, "cls binary, start long, a long, b long"), "frequent")
-        twice = rows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1")
-        return rows.join(twice, ["a", "b"]).select(
-            "cls", "start", (F.col("start") + window).alias("end"))
+        twice = materialize(rows.groupBy("a", "b").agg(F.count("*").alias("n")).filter("n > 1"), "twice")
+        again = lookup_join(rows, twice.select("a", "b"), ["a", "b"], freq=twice, hot_rows=HOT_ANCHORS, spread=["cls", "start"])
+        return again.select("cls", "start", (F.col("start") + window).alias("end"), "a", "b")
 
     def marked(self, spans: DataFrame) -> DataFrame:
         """Documents with what to remove: (doc_id, text, whole, spans).
@@ -258,7 +269,7 @@ class Corpus:
         marks = materialize(copies.join(held, "cls", "left").filter("whole or spans is not null").select(
             F.col("cls").alias("c"), "whole", F.when(~F.col("whole"), F.col("spans")).alias("spans")), "marks")
         side = small_side(marks, F.lit(64) + F.coalesce(F.size("spans"), F.lit(0)) * 24)
-        return self._with_class(self.docs).join(side, F.col("cls") == F.col("c"), "left").select(
+        return self.with_class(self.docs).join(side, F.col("cls") == F.col("c"), "left").select(
             "doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
 
 

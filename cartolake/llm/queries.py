@@ -149,6 +149,29 @@ kept AS (
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
   sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+""",
+    "op10_repeated_bytes": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+-- Windows are cut from short pieces: the place of a character is found by counting.
+pieces AS MATERIALIZED (
+  SELECT r, 64 * c AS base, substring(h, 128 * c + 1, 926) AS p
+  FROM (SELECT r, h, unnest(range(0, (strlen(h) // 2 - 400) // 64 + 1)) AS c FROM d WHERE strlen(h) >= 800)),
+w AS (
+  SELECT r, base + i AS s, md5_number(substring(p, 2 * i + 1, 800)) AS t
+  FROM (SELECT r, base, p, unnest(range(0, strlen(p) // 2 - 399)) AS i FROM pieces WHERE strlen(p) >= 800)),
+hits AS (SELECT r, s FROM w JOIN (SELECT t FROM w GROUP BY t HAVING count(*) > 1) USING (t)),
+spans AS (
+  SELECT r, min(s) AS a, max(s) + 400 AS b FROM (
+    SELECT r, s, sum(CASE WHEN s - before <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY s) AS run
+    FROM (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS before FROM hits)) GROUP BY r, run),
+gaps AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS kept_from FROM spans),
+cut AS (
+  SELECT r, count(*) AS n, sum(b - a) AS gone, max(b) AS last,
+    string_agg(substring(h, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) AS head
+  FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, (strlen(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head || substring(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
 """,
     "op11_ranked": r"""
 WITH d AS (

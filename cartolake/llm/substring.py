@@ -186,7 +186,7 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         lambda batches: equal_windows(batches, window), "cls binary, start long, end long")
     if places.filter("hot").take(1):
         spans = spans.unionByName(corpus.frequent_windows(
-            places.filter("hot"), lambda text: tuple(word_hashes([text], b)[0] for b in ODD[:2])))
+            places.filter("hot"), lambda text: tuple(word_hashes([text], b)[0] for b in ODD[:2])).drop("a", "b"))
     marked = corpus.marked(materialize(spans, "spans"))
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
