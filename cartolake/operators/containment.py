@@ -16,7 +16,7 @@ from cartolake.session import materialize
 SKETCH_VALUES = 256
 
 
-def _canonical(field: T.StructField) -> Column:
+def canonical(field: T.StructField) -> Column:
     """A value as text that equal numbers share whatever their type: 1, 1.0 and 1.00 are one value."""
     value = F.col(f"`{field.name}`")
     if isinstance(field.dataType, T.DecimalType):
@@ -36,7 +36,7 @@ def distinct_values(tables: Mapping[str, DataFrame], columns: Mapping[str, list[
     parts = []
     for table, names in columns.items():
         fields = [f for f in tables[table].schema.fields if f.name in set(names)]
-        cells = [F.struct(F.lit(f.name).alias("column"), _canonical(f).alias("value")) for f in fields]
+        cells = [F.struct(F.lit(f.name).alias("column"), canonical(f).alias("value")) for f in fields]
         parts.append(tables[table].select(F.lit(table).alias("table"), F.inline(F.array(*cells))))
     return materialize(reduce(DataFrame.unionByName, parts).filter("value is not null").distinct(), "values")
 
