@@ -243,3 +243,5 @@ FROM texts LEFT JOIN per_text USING (id)""",
           SELECT k, k * 100 + p AS request_id, sch, tbl || CASE WHEN k % 12 = 0 THEN '_x' ELSE '' END AS name, row_count,
             coalesce(([NULL, 1, 5, 20, 21, 0, -3])[k % 7 + 1], 5) AS asked FROM counted))"""),
 }
+# The queries of ``batch`` register themselves beside the others; so does their SQL.
+ORACLE.update(BATCH_ORACLE)
