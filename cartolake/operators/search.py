@@ -99,7 +99,8 @@ def search_many(texts: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT
     Needles are rows, not parts of the plan: each meets the index by its rarest gram, the
     shortest of the postings that all its texts are in, and the texts found there are tested
     for the needle itself.  A needle shorter than a gram is a gram.  Equal needles are
-    looked up once.  Empty and null needles find nothing.
+    looked up once.  Empty and null needles find nothing.  Of the places of one text only
+    the first few can be ranked, so a name that a million tables share meets its needles a few times.
     """
     if limit < 0:
         raise ValueError(f"limit must not be negative, got {limit}")
@@ -113,9 +114,13 @@ def search_many(texts: DataFrame, queries: DataFrame, limit: int = DEFAULT_LIMIT
     frequency = index.postings.join(cut.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     counted = cut.join(frequency, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     first = counted.groupBy("needle").agg(F.min(F.struct("n", "gram")).alias("rarest")).select("needle", "rarest.gram")
-    places = index.postings.join(first, "gram").select("needle", "text_id")
-    found = places.join(index.texts, "text_id").filter(F.col("text").contains(F.col("needle"))).select("needle", "text")
-    best = texts.join(found, "text").groupBy("needle", *TABLE_KEY).agg(F.min("tier").alias("tier"))
+    found = index.postings.join(first, "gram").select("needle", "text_id").join(index.texts, "text_id").filter(F.col("text").contains(F.col("needle"))).select("needle", "text")
+    # A table that ``limit`` others precede among the places of one text is preceded by them for every needle in it.
+    # The rank counts tiers of a table apart, and those of equal places once.
+    place = F.dense_rank().over(Window.partitionBy("text").orderBy("tier", *TABLE_KEY))
+    places = texts.select(*TABLE_KEY, "tier", "text").withColumn("place", place).filter(
+        F.col("place") <= limit * len(MATCH_TYPES)).groupBy("text", *TABLE_KEY).agg(F.min("tier").alias("tier"))
+    best = places.join(found, "text").groupBy("needle", *TABLE_KEY).agg(F.min("tier").alias("tier"))
     order = Window.partitionBy("needle").orderBy("tier", *TABLE_KEY)
     # Ranked per needle; the queries that share one get its few rows.
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)

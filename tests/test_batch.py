@@ -148,6 +148,20 @@ def test_many_needles_equal_direct_search(spark):
     assert search.search_many(texts.limit(0), queries).collect() == []
 
 
+def test_places_of_a_shared_text_are_ranked_before_needles_meet_them(spark):
+    # One table has a text in many places and tiers; a needle must still find the tables behind it.
+    rows = [("s", "t0", tier, "shared name") for tier in (0, 1, 2) for _ in range(5)]
+    rows += [("s", f"t{i}", 2, "shared name") for i in range(1, 9)] + [("s", "t5", 1, "a name"), (None, "t9", 2, "shared name")]
+    texts = spark.createDataFrame(rows, "schema string, `table` string, tier int, text string").repartition(3)
+    asked = [(1, "name"), (2, "shared"), (3, "a n")]
+    for limit in (0, 1, 3, 50):
+        got = search.search_many(texts, spark.createDataFrame(asked, "query_id int, query string"), limit=limit)
+        assert sorted(map(str, got.collect())) == sorted(map(str, search.search(texts, asked, limit=limit).collect()))
+    # Cut per text where the texts are read, before the needles are joined.
+    plan = plan_of(search.search_many(texts, spark.createDataFrame(asked, "query_id int, query string"), limit=3))
+    assert "WindowGroupLimit" in plan and "dense_rank(tier" in plan
+
+
 # -- keys ---------------------------------------------------------------------
 def brute_keys(rows, names, most):
     found = []
