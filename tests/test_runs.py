@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cartolake.functions import classify
 from cartolake.operators import enrich, judge, overlap, profile, resume, sampling
 from cartolake.sources import constraints, reports, snapshot
+from conftest import plan_of
 
 TD = "schema string, `table` string, description string, grain string, domain_hints array<string>, confidence double"
 CD = "schema string, `table` string, `column` string, description string, semantic_type string, pii_risk string, confidence double"
@@ -182,3 +183,28 @@ def test_evidence_by_literal_cases(spark):
         df = spark.createDataFrame([(v,) for v in [*yes, *no, None]], "v string")
         row = profile.pii_evidence({"t": df}).filter(F.col("kind") == kind).first()
         assert (row.filled, row.matched) == (len(yes) + len(no), len(yes)), kind
+
+
+# -- answers are read once ----------------------------------------------------
+def test_every_value_of_a_judgement_is_looked_at_once(spark):
+    def entry(score):
+        return '{"score":%s,"reasoning":"r"}' % score
+
+    def raw(*scores):
+        return "{" + ",".join(f'"{d}":{s}' for d, s in zip(judge.DIMENSIONS, scores)) + "}"
+
+    cases = {
+        raw(entry(3), entry('" 4 "'), entry("true")): (3, 4, 1), raw(entry("-2.5"), entry("9e9"), entry('"+5"')): (1, 5, 5),
+        raw(entry("null"), entry(1), entry(1)): None, raw(entry('"4.5"'), entry(1), entry(1)): None, raw("7", entry(1), entry(1)): None,
+        raw("[1]", entry(1), entry(1)): None, raw(entry("{}"), entry(1), entry(1)): None, raw('{"reasoning":"r"}', entry(1), entry(1)): None,
+        raw('{"score":2}', '{"score":2,"reasoning":null}', '{"score":2,"reasoning":5}'): (2, 2, 2), raw(entry(1), entry(1)): None,
+        "[1]": None, "7": None, "null": None, "{}": None}
+    answers = spark.createDataFrame([("s", f"t{i}", text) for i, text in enumerate(cases)], "schema string, `table` string, raw string")
+    scores = judge.parse_scores(answers)
+    got = {r["table"]: r for r in scores.collect()}
+    for i, (text, want) in enumerate(cases.items()):
+        found = tuple(got[f"t{i}"][d] for d in judge.DIMENSIONS)
+        assert (got[f"t{i}"].status, found) == (("ok", want) if want else ("failed", (None, None, None))), text
+    assert [got["t8"][f"{d}_reasoning"] for d in judge.DIMENSIONS] == ["", "", "5"]
+    # One type name per score, which no later step asks for again.
+    assert scores._jdf.queryExecution().analyzed().toString().count("schema_of_variant") == len(judge.DIMENSIONS)
