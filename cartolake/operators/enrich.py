@@ -229,12 +229,14 @@ def parse_descriptions(responses: DataFrame, columns: DataFrame, part_size: int
     """
     names = F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "column"))), lambda x: x["column"])
     expected = columns.withColumn("part", _part(part_size)).groupBy(*PART_KEY).agg(names.alias("expected"))
+    # Answers travel to the expected names as they came: what is read from one is wider.
     read = (
-        responses.select(*PART_KEY, "raw", once(doc=J.parse(strip_fence(F.col("raw")))))
-        .select(*PART_KEY, "raw", F.col("doc").isNotNull().alias("is_json"), once(
+        responses.select(*PART_KEY, "raw").join(expected, PART_KEY, "left")
+        .select(*PART_KEY, "raw", "expected", once(doc=J.parse(strip_fence(F.col("raw")))))
+        .select(*PART_KEY, "raw", "expected", F.col("doc").isNotNull().alias("is_json"), once(
             d=J.record(F.col("doc"), "description", "grain", "domain_hints", "columns", "confidence")))
         .select(
-            *PART_KEY, "is_json", F.left("raw", F.lit(RAW_KEPT)).alias("raw_start"), once(
+            *PART_KEY, "expected", "is_json", F.left("raw", F.lit(RAW_KEPT)).alias("raw_start"), once(
                 items=F.transform(F.try_variant_get("d.columns", "$", "array<variant>"), _read_column),
                 has_description=F.col("d.description").isNotNull(), has_grain=F.col("d.grain").isNotNull(),
                 description=J.text(F.col("d.description")), grain=J.text(F.col("d.grain")),
@@ -253,8 +255,7 @@ def parse_descriptions(responses: DataFrame, columns: DataFrame, part_size: int
         .when(~F.col("has_confidence"), "missing_field")
         .when(F.col("confidence").isNull(), "bad_number")
     )
-    # Tables and their expected names meet one to one; every check is then local to the row.
-    judged = read.join(expected, PART_KEY, "left").select("*", once(reason=reason)).withColumn(
+    judged = read.select("*", once(reason=reason)).withColumn(
         "status", F.when(F.col("reason").isNull(), "ok").otherwise("failed"))
     ok = F.col("status") == "ok"
     accepted = judged.filter(ok)

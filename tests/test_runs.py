@@ -186,6 +186,16 @@ def test_evidence_by_literal_cases(spark):
 
 
 # -- answers are read once ----------------------------------------------------
+def test_answers_meet_the_names_before_they_are_read(spark, catalog):
+    columns = catalog({"s.t": "id* a", "s.u": "id*"})
+    answers = spark.createDataFrame([("s", "t", 0, "{}"), ("s", "x", 0, "{"), ("s", "u", 0, None)], "schema string, `table` string, part int, raw string")
+    parsed = enrich.parse_descriptions(answers, columns)
+    tree = plan_of(parsed.verdicts).split("\n\n")[0]
+    assert "Join" in tree and "Generate" in tree.split("Join")[0] and "Generate" not in tree.split("Join", 1)[1]
+    assert {(r["table"], r.status, r.reason) for r in parsed.verdicts.collect()} == {
+        ("t", "failed", "missing_field"), ("x", "failed", "bad_json"), ("u", "failed", "bad_json")}
+
+
 def test_every_value_of_a_judgement_is_looked_at_once(spark):
     def entry(score):
         return '{"score":%s,"reasoning":"r"}' % score
