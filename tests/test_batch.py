@@ -97,6 +97,28 @@ def test_merge_of_descriptions(spark):
     assert sorted((r.table, r.description, r.column) for r in columns.collect()) == [("a", "1", "x"), ("b", "2", "x"), ("b", "2", "y"), ("new", "2", "x")]
 
 
+def test_a_slice_reads_its_own_prompts_and_cores_bound_rounds_of_tasks(spark, tmp_path, monkeypatch):
+    prompts = spark.range(400).select(F.lit("s").alias("schema"), F.format_string("t%d", "id").alias("table"), F.lit(0).alias("part"),
+                                      F.format_string("Table: s.t%d\n  - id: int", "id").alias("prompt"))
+    spans = [resume._share(i, 7) for i in range(7)]
+    assert spans[0][0] == -(1 << 63) and spans[-1][1] == (1 << 63) - 1 and all(a[1] + 1 == b[0] for a, b in zip(spans, spans[1:]))
+    asked, plain = [], resume.enrich.generate
+
+    def generate(part, fn, **how):
+        asked.append((plan_of(part), part.count(), how["parallelism"]))
+        return plain(part, fn, **how)
+
+    monkeypatch.setattr(resume.enrich, "generate", generate)
+    # (parallelism, calls per task): slices of so many tasks; four cores bound four calls by themselves.
+    for parallelism, calls_per_task, jobs, tasks in ((2, 10, 20, 2), (4, 10, 10, 4), (40, 400, 1, 40), (4, 2, resume.ROUNDS, 13)):
+        log = resume.ResponseLog(spark, str(tmp_path / f"{parallelism}-{calls_per_task}"))
+        asked.clear()
+        n = resume.ask(resume.calls(prompts, 1, "m"), flaky(), log, attempts=1, parallelism=parallelism, calls_per_task=calls_per_task).count()
+        assert n == 400 and len(asked) == jobs and sum(a[1] for a in asked) == 400 and {a[2] for a in asked} == {tasks}
+        # The filter reaches the files, where the prompts lie in its order.
+        assert jobs == 1 or all("GreaterThanOrEqual(at," in a[0] for a in asked)
+
+
 # -- samples ------------------------------------------------------------------
 def test_sample_requests(spark, tmp_path):
     people = spark.createDataFrame([(i, f"name {i}", i % 3) for i in range(50)], "id long, full_name string, kind int").repartition(4)
