@@ -174,7 +174,8 @@ def table_samples(
     """The ``cap`` rows of each table with the smallest hashes: (schema, table, rank, row, error, cells).
 
     One pass per table serves any number of requests: every task keeps its ``cap`` best
-    rows, so nothing but these is moved.  Rows are redacted before they are hashed or
+    rows, so nothing but these is moved.  With ``key_columns`` a pass over these finds the hashes
+    that stay, and a second one reads the rows that have them: a joined table moves its keys only.  Rows are redacted before they are hashed or
     read, then coerced, one JSON object each; ``cells`` are its
     columns (see ``json_cells``).  The hash is the MD5 of ``key_columns``, which
     must identify rows, or else of the redacted row, so a sample does not depend on how a
@@ -190,7 +191,12 @@ def table_samples(
             names = (key_columns or {}).get((schema, table))
             own = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names]) if names else row
             # Only the rows that stay are written as JSON.
-            first = shown.withColumn("__by", F.md5(own)).orderBy("__by").limit(cap)
+            hashed = shown.withColumn("__by", F.md5(own))
+            if names:
+                # The keys alone tell which hashes stay; only rows with these travel through what the table is made of.
+                last = hashed.select("__by").orderBy("__by").limit(cap).agg(F.max("__by")).first()[0]
+                hashed = hashed.filter(F.col("__by") <= F.lit(last)) if last is not None else hashed
+            first = hashed.orderBy("__by").limit(cap)
             return materialize(first.select(F.col("__by").alias("by"), F.to_json(
                 F.struct(*[F.col(f"`{c}`") for c in shown.columns]), {"ignoreNullFields": "false"}).alias("row"),
                 json_cells(shown.columns).alias("cells")), "sample")

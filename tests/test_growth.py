@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import random
 
-from cartolake.operators import secrets
+from pyspark.sql import functions as F
+
+from cartolake.operators import sampling, secrets
 
 
 def test_secrets_meet_tokens_not_all_grams_of_words(spark, monkeypatch):
@@ -32,3 +36,22 @@ def test_secrets_meet_tokens_not_all_grams_of_words(spark, monkeypatch):
 
     assert got == [hidden(t) for t in [*lines, "a--b", "x---y", "--"]]
     assert written["postings"] < 10 * len(urls)
+
+
+def test_samples_of_a_joined_table_move_only_keys(spark):
+    """Columns beside the keys are read, and so moved, for the sampled rows alone."""
+    n, read = 4000, spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def wide(i):
+        read.add(1)
+        return f"row {i} " * 20
+
+    left = spark.range(n).withColumn("wide", wide(F.col("id")))
+    right = spark.range(n).select(F.col("id").alias("other_id"), (F.col("id") % 7).alias("group"))
+    got = sampling.table_samples(
+        spark, {("s", "t"): lambda: left.join(right, F.col("id") == F.col("other_id"))}, None, cap=5,
+        key_columns={("s", "t"): ["id"]}).orderBy("rank").collect()
+    first = sorted(range(n), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:5]
+    assert [json.loads(r.row)["id"] for r in got] == first and [r.rank for r in got] == [1, 2, 3, 4, 5]
+    assert read.value < 100
