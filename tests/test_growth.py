@@ -8,7 +8,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from cartolake.operators import sampling, secrets
+from cartolake.operators import judge, sampling, secrets
+from cartolake.schema import COLUMNS
 
 
 def test_secrets_meet_tokens_not_all_grams_of_words(spark, monkeypatch):
@@ -55,3 +56,20 @@ def test_samples_of_a_joined_table_move_only_keys(spark):
     first = sorted(range(n), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:5]
     assert [json.loads(r.row)["id"] for r in got] == first and [r.rank for r in got] == [1, 2, 3, 4, 5]
     assert read.value < 100
+
+
+def test_judge_prompts_move_columns_once(spark):
+    """One exchange for columns and their descriptions together, one for the descriptions of tables."""
+    columns = spark.createDataFrame(
+        [("s", "t", i, c, "int", True, False, None) for i, c in ((2, "b"), (1, "a"), (3, "b"), (4, None))], COLUMNS)
+    told = spark.createDataFrame(
+        [("s", "t", c, f"{c}{n}", "measure", "none") for c, n in (("b", 1), ("b", 2), (None, 3), ("z", 4))],
+        "schema string, `table` string, `column` string, description string, semantic_type string, pii_risk string")
+    tables = spark.createDataFrame(
+        [("s", "t", "about t", "one", ["h"])], "schema string, `table` string, description string, grain string, domain_hints array<string>")
+    prompts = judge.judge_prompts(columns, tables, told)
+    text = prompts.first().prompt
+    assert [line.split(":")[0] for line in text.split("\nSchema:\n")[1].split("\nDescription")[0].split("\n")] == ["  - a", "  - b", "  - b"]
+    body = json.loads(text.split("(JSON):\n")[1].split("\n")[0])
+    assert [c["description"] for c in body["columns"]] == ["b1", "b2", "b1", "b2"]
+    assert prompts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
