@@ -72,13 +72,18 @@ def _inline(rows: list[tuple]) -> str:
         "struct(" + ", ".join(text(v) for v in row) + ")" for row in rows) + "))"
 
 
+# A task makes the catalog of so many tenants, about.
+TASK_TENANTS = 10_000
+
+
 def tenant_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One narrow row per tenant, spread over the cores before it fans out ~100-fold."""
+    """One narrow row per tenant, spread over the cores, and over more tasks as they grow, before it fans out ~100-fold."""
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-customer.count() // TASK_TENANTS))
     k = F.col("k")
     return (
         customer.select(F.col("c_custkey").alias("k"))
-        .repartition(spark.sparkContext.defaultParallelism, k)
+        .repartition(tasks, k)
         .select(k, F.concat(F.lit("t"), k.cast("string")).alias("schema"))
     )
 
