@@ -8,7 +8,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from cartolake.operators import judge, sampling, secrets
+from cartolake.operators import judge, keys, sampling, secrets
+from cartolake.plans import tenants
 from cartolake.schema import COLUMNS
 
 
@@ -73,3 +74,20 @@ def test_judge_prompts_move_columns_once(spark):
     body = json.loads(text.split("(JSON):\n")[1].split("\n")[0])
     assert [c["description"] for c in body["columns"]] == ["b1", "b2", "b1", "b2"]
     assert prompts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+
+
+def test_key_search_moves_digests_not_values(spark, monkeypatch):
+    """Values of columns meet only where a digest repeats; a digest that differing rows share rules no key out."""
+    n = 300
+    rows = spark.range(n).select(F.col("id").alias("a"), F.concat(F.lit("x" * 500), (F.col("id") % 299).cast("string")).alias("b"))
+    assert keys._digest(("a", "b"))._jc.toString().startswith("xxhash64")
+    assert keys._unique(rows, ("a",)) and not keys._unique(rows, ("b",))
+    monkeypatch.setattr(keys, "_digest", lambda columns: F.col(columns[0]) % 10)
+    assert keys._unique(rows, ("a",)) and keys._unique(rows, ("a", "b"))
+
+
+def test_tasks_grow_with_the_tenants(spark, monkeypatch, tmp_path):
+    spark.range(90).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(tenants, "TASK_TENANTS", 3)
+    found = tenants.tenant_keys(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 30 and found.count() == 90
