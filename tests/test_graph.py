@@ -94,3 +94,35 @@ def test_id_collisions_try_another_seed(tables, fks, monkeypatch):
     monkeypatch.setattr(graph, "_node_id", weak)
     got, _ = run(tables, fks, ["a", "b", "c", "d"], [("a", "b"), ("c", "d")])
     assert set(got.values()) == {2} and max(seeds) == 1
+
+
+@pytest.mark.parametrize("run_edges", [1, 3, 40])
+def test_runs_of_edges_are_linked_by_shared_nodes(tables, fks, spark, monkeypatch, run_edges):
+    monkeypatch.setattr(graph, "RUN_EDGES", run_edges)
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 5)
+    rng = random.Random(run_edges)
+    names = [f"s{i % 4}.n{i}" for i in range(40)]
+    edges = [(rng.choice(names), rng.choice([*names, "x.ghost"])) for _ in range(30)]
+    labels = graph.components(tables(*names), fks(*[f"{a}.c > {b}.d" for a, b in [*edges, *edges[:9]]]))
+    got = {f"{x['schema']}.{x['table']}": x["component_size"] for x in graph.table_components(labels).collect()}
+    assert got == labels_of(names, edges)
+
+
+def test_edges_that_stay_in_their_schema_need_no_rounds(tables, fks, monkeypatch):
+    """What is connected within a schema is contracted where it lies; rounds see links of schemas only."""
+    rounds = []
+    real = graph._large_star
+    monkeypatch.setattr(graph, "_large_star", lambda edges, total: rounds.append(edges.count()) or real(edges, total))
+    names = [f"s{i % 5}.n{i:02d}" for i in range(50)]
+    chains = list(zip(names, names[5:]))
+    labels = graph.components(tables(*names), fks(*[f"{a}.c > {b}.d" for a, b in chains]))
+    got = {x["component_size"] for x in graph.table_components(labels).collect()}
+    assert got == {10} and not rounds
+
+
+def test_null_names_are_nodes_of_their_own(tables, fks, spark):
+    listed = tables("s.a", "s.b").unionByName(spark.createDataFrame([(None, "a", None)], tables("s.a").schema))
+    edge = spark.createDataFrame([("s", "a", "x", None, "b", "y"), (None, "a", "x", None, "a", "y")], fks("s.a.x > s.b.y").schema)
+    labels = graph.components(listed, edge)
+    got = {(x["schema"], x["table"]): x["component_size"] for x in graph.table_components(labels).collect()}
+    assert got == {("s", "a"): 2, ("s", "b"): 1, (None, "a"): 1}
