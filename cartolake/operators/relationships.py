@@ -20,6 +20,8 @@ from cartolake.schema import EDGE, SOURCE, TABLE_KEY
 
 # A key that more columns than this could point at is a catch-all, not a target.
 PRESSURE_THRESHOLD = 15
+# Names of key columns are told by a hash of so many bits before rows travel: 2^17 words at most are broadcast.
+NAME_BITS = 23
 
 
 def _named(columns: DataFrame, normalise: Callable[[Column], Column] | None) -> DataFrame:
@@ -55,6 +57,23 @@ def key_frequency(keys: DataFrame) -> DataFrame:
     return keys.groupBy("schema", "key").agg(F.count("*").alias("n"))
 
 
+def _bit(name: Column) -> tuple[Column, Column]:
+    """The word and the bit in it that a hash of a name falls on."""
+    place = F.pmod(F.xxhash64(name), F.lit(1 << NAME_BITS))
+    return F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
+
+
+def owned(keys: DataFrame, columns: DataFrame, normalise: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``keys`` without names that no key column has; a few of these may stay, by equal hashes."""
+    one, (word, bit) = F.lit(1).cast("long"), _bit(F.col("match_name"))
+    words = (
+        _named(columns, normalise).filter("is_primary_key")
+        .groupBy(word.alias("__word")).agg(F.bit_or(F.call_function("shiftleft", one, bit)).alias("__bits")))
+    word, bit = _bit(F.col("key"))
+    held = F.call_function("shiftright", F.col("__bits"), bit).bitwiseAND(one) == 1
+    return keys.join(F.broadcast(words), (word == F.col("__word")) & held, "left_semi")
+
+
 def match_pressure(columns: DataFrame, normalise: Callable[[Column], Column] | None = None) -> DataFrame:
     """(schema, key, n) for every key name some single-column primary key carries."""
     names = single_pks(columns, normalise).select("schema", "key").distinct()
@@ -73,9 +92,9 @@ def matches(
     multiplies rows.  First and last also tell whether the column's own table is
     an owner whenever that decides between one target and several.  Usable keys
     match at most ``threshold`` columns each, so names above HOT_ROWS can be
-    dropped on the map side, before any shuffle.
+    dropped on the map side, before any shuffle, as are names that no key column has.
     """
-    keys, pks = match_keys(columns, normalise), single_pks(columns, normalise)
+    keys, pks = owned(match_keys(columns, normalise), columns, normalise), single_pks(columns, normalise)
     freq = key_frequency(keys)
     owner = F.struct("target_table", "target_column")
     usable = (

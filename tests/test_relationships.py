@@ -148,3 +148,13 @@ def test_plan_has_no_nested_loop(spark):
     from cartolake.plans.tenants import Tenants
     plan = plan_of(Tenants(spark, SF).relationships())
     assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
+
+
+def test_names_that_no_key_has_stay_where_they_are(catalog, monkeypatch):
+    columns = catalog({"s.users": "user_id* name", "s.orders": "order_id* user_id total_sum", "z.notes": "text user_id"})
+    keys = R.match_keys(columns)
+    assert {r["key"] for r in R.owned(keys, columns).collect()} == {"user_id"}
+    want = sorted(map(tuple, R.infer_edges(columns).collect()))
+    monkeypatch.setattr(R, "NAME_BITS", 1)
+    assert sorted(map(tuple, R.infer_edges(columns).collect())) == want
+    assert [(r[1], r[2], r[4]) for r in want] == [("orders", "user_id", "users")]
