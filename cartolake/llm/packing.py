@@ -28,6 +28,8 @@ _ODD_SPACE = re.compile("[\x1c-\x1f]")
 # Fixed value: how a tokenizer with letters, digits and other characters apart cuts words.
 _LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Letters that normalisation leaves single letters.
+# The same cuts in lower-case ASCII; what stands between the pieces is white space.
+_PIECES = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\t-\r a-z0-9]+")
 _LATIN = frozenset(string.ascii_letters) | {chr(c) for c in range(0xC0, 0x100)} - {"×", "÷"}
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 # Byte-level models name a byte by its Latin-1 character, those without a visible one by the characters from 256 on.
@@ -53,9 +55,15 @@ class WordTokenizer(dict):
 
         super().__init__()
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        # Words met before never reach the model, so its own cache only costs time.
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache_words = cache_words
         self.special = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
+        # Letters and then punctuation hold no special token, unless one is made so.
+        self.plain_tails = not any(re.fullmatch(f"[a-z]*[{re.escape(string.punctuation)}]*", t) for t in self.special)
         shape = json.loads(self.tokenizer.to_str())
         normal = [s["type"] for s in (shape.get("normalizer") or {}).get("normalizers", [])]
         cuts = (shape.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -76,15 +84,17 @@ class WordTokenizer(dict):
 
     def _parts(self, word: str) -> bytes | None:
         """The ids of a word by way of simpler words; None if there are none."""
-        if _LETTERS.fullmatch(word):
+        ascii_word = word.isascii()
+        if word.isalpha() if ascii_word else _LETTERS.fullmatch(word):
             lower = word.lower()
             if lower != word:
                 return self[lower]
             # One piece of letters: the model alone tells its ids.
-            return self._bytes([t.id for t in self.tokenizer.model.tokenize(
-                word.encode().decode("latin-1").translate(_BYTE_LETTERS))])
+            return self._bytes([t.id for t in self.model.tokenize(
+                word if ascii_word else word.encode().decode("latin-1").translate(_BYTE_LETTERS))])
         stem = word.rstrip(string.punctuation)
-        if stem != word and stem[-1:] in _LATIN and not any(s in word.lower() for s in self.special):
+        if stem != word and stem[-1:] in _LATIN and (
+                (self.plain_tails and ascii_word and stem.isalpha()) or not any(s in word.lower() for s in self.special)):
             return self[stem] + self[word[len(stem):]]
         return None
 
@@ -92,7 +102,17 @@ class WordTokenizer(dict):
         if len(self) > self.cache_words:
             self.clear()
         ids = self.__getitem__
-        return [b"".join(map(ids, [t] if _ODD_SPACE.search(t) else t.split())) for t in texts]
+        return [b"".join(map(ids, self.cut(t))) for t in texts]
+
+    def cut(self, text: str) -> list[str]:
+        """Pieces whose ids, one after the other, are those of the text."""
+        if _ODD_SPACE.search(text):
+            return [text]
+        if self.parts_words and text.isascii():
+            lower = text.lower()
+            if not any(s in lower for s in self.special):
+                return _PIECES.findall(lower)
+        return text.split()
 
 
 def words_of(path: str) -> WordTokenizer:

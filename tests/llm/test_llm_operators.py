@@ -263,6 +263,20 @@ def test_word_tokenizer_is_the_tokenizer():
         assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_words_with_one_stem_are_looked_up_once():
+    """Case and punctuation of ASCII texts make no new words; pieces are the tokenizer's own."""
+    from tokenizers import Tokenizer
+
+    plain, words = Tokenizer.from_file(tokenizer()), packing.WordTokenizer(tokenizer())
+    texts = ["They'll SAY they'LL!! say, \"They\"\t(say) it''s 'street' 're're", "say|12 34say\r\nthey-say\x0b\x0cTHEY", "a\x00b \x7f they\x1esay",
+             "<|endoftext|>say they <|STARTOFTEXT|>", "x' 's'' '' l'l d'dd"]
+    got = [np.frombuffer(b, words.kind).tolist() for b in words.encode(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    words.clear()
+    words.encode([texts[0]])
+    assert {w for w in words if "s" in w and "y" in w} == {"say"} and not any(w != w.lower() for w in words)
+
+
 def test_surrogates(spark):
     rows = [
         (1, "Call +1 (988) 555-2485 or mail Bob.Smith@mail1.example.com; BOB.SMITH@mail1.EXAMPLE.com", "x", 9),
