@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartolake.operators.quality import endpoints
-from cartolake.operators.skew import lookup_join
+from cartolake.operators.skew import SALTS, hot_keys, lookup_join
 from cartolake.schema import TABLE_KEY
 from cartolake.session import materialize
 
@@ -139,16 +139,20 @@ def components(tables: DataFrame, relationships: DataFrame) -> DataFrame:
     the driver sees counts and at most one row per round.
     """
     ends = ["source_schema", "source_table", "target_schema", "target_table"]
-    # Sorted by schema, runs of edges hold whole schemas; a huge schema is spread over tasks.
     pairs = materialize(
         relationships.select(*ends)
-        .filter((F.col("source_schema") != F.col("target_schema")) | (F.col("source_table") != F.col("target_table")))
-        .hint("rebalance", F.col("source_schema")).sortWithinPartitions("source_schema"), "pairs")
+        .filter((F.col("source_schema") != F.col("target_schema")) | (F.col("source_table") != F.col("target_table"))), "pairs")
     nodes, seed = _numbered_nodes(
         tables.select(*TABLE_KEY, F.lit(True).alias("is_table"))
         .unionByName(endpoints(pairs).withColumn("is_table", F.lit(False)))
         .groupBy(*TABLE_KEY).agg(F.max("is_table").alias("is_table")))
-    runs = materialize(_contract(pairs.select(
+    # Sorted by schema, runs of edges hold whole schemas; only a huge schema is spread over tasks.
+    huge = hot_keys(pairs.groupBy("source_schema").agg(F.count("*").alias("n")), ["source_schema"], "n")
+    laid = (
+        pairs.join(F.broadcast(huge.withColumn("__hot", F.lit(True))), "source_schema", "left")
+        .repartition("source_schema", F.when(F.col("__hot"), F.pmod(F.xxhash64("source_table"), F.lit(SALTS))))
+        .sortWithinPartitions("source_schema"))
+    runs = materialize(_contract(laid.select(
         _node_id(seed, *ends[:2]).alias("u"), _node_id(seed, *ends[2:]).alias("v"))), "runs")
     own = runs.groupBy("id").agg(F.min("root").alias("root"), F.max("root").alias("last"))
     # A run names a node once, so even one with very many edges has few roots to link.
