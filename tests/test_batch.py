@@ -206,6 +206,28 @@ def test_minimal_keys_equal_brute_force(spark, seed):
     assert n == 60 and set(got) == brute_keys(rows, names[:5], 3)
 
 
+@pytest.mark.parametrize("look", [1 << 20, 40])
+def test_keys_of_any_number_of_columns_are_found(spark, monkeypatch, look):
+    """Every set of columns counts, whole, also where a first look sees a share of the rows only."""
+    monkeypatch.setattr(keys, "LOOK", look)
+    rows = [((i >> 3) & 3, (i >> 1) & 3, i & 1, i >> 5, "x") for i in range(128)]
+    names = ["a", "b", "digest", "d", "same"]
+    df = spark.createDataFrame(rows, "a int, b int, digest int, d int, same string").repartition(3)
+    got, n = keys.minimal_keys(df)
+    assert n == 128 and got == [("a", "b", "digest", "d")] and set(got) == brute_keys(rows, names, 5)
+
+
+def test_one_repeat_is_enough(spark, monkeypatch):
+    """A set that nearly identifies rows is no key; a table with a repeated row has none."""
+    monkeypatch.setattr(keys, "LOOK", 5000)
+    rng = random.Random(1)
+    rows = [(i, i % 50, rng.choice("ab"), rng.randint(0, 400), i // 2) for i in range(4000)]
+    rows[17] = (rows[3901][0], *rows[17][1:])
+    kinds, names = "a int, b int, c string, d int, e int", ["a", "b", "c", "d", "e"]
+    assert set(keys.minimal_keys(spark.createDataFrame(rows, kinds))[0]) == brute_keys(rows, names, 5)
+    assert keys.minimal_keys(spark.createDataFrame([*rows, rows[5]], kinds)) == ([], 4001)
+
+
 def test_keys_of_small_tables(spark):
     empty = spark.createDataFrame([], "a int, b string")
     assert keys.minimal_keys(empty) == ([], 0)
