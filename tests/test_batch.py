@@ -64,6 +64,25 @@ def test_a_resumed_run_repeats_no_accepted_call(spark, catalog, tmp_path):
     assert log.rows().filter("model = 'm' and outcome = 'ok' and `table` = 't0'").count() == 2
 
 
+def test_prompts_are_written_once_and_answers_read_once(spark, catalog, tmp_path, monkeypatch):
+    """While no call has an answer its prompt is not copied; results come from what was read of the answers, not from reading them anew."""
+    columns, log, labels = catalog({f"s.t{i}": "id* a" for i in range(6)}), resume.ResponseLog(spark, str(tmp_path / "log")), []
+    plain = resume.materialize
+    monkeypatch.setattr(resume, "materialize", lambda df, label: labels.append(label) or plain(df, label))
+
+    def described(**flaws):
+        labels.clear()
+        tables, rows, _ = resume.describe_resumable(
+            columns, flaky(**flaws), log, "m", attempts=1, backoff=0.0, parallelism=2, calls_per_task=2)
+        assert all("parse_json" not in df._jdf.queryExecution().optimizedPlan().toString() for df in (tables, rows))
+        return {r.table for r in rows.collect()}
+
+    assert described(broken=["t1"]) == {f"t{i}" for i in (0, 2, 3, 4, 5)}
+    # The reminders, none of which is open, are looked for in the log.
+    assert labels.count("prompts") == 1 and labels.count("pending") == 1
+    assert described() == {f"t{i}" for i in range(6)} and log.rows().count() == 7
+
+
 def test_answers_of_finished_tasks_outlive_a_failed_job(spark, tmp_path):
     log = resume.ResponseLog(spark, str(tmp_path / "log"))
     good = spark.createDataFrame([("s", "t", 0, 1, "h", "m", "raw", "ok", None, 1)], resume.LOG).toPandas()
